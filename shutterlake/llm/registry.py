@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from shutterlake.llm import op01_quality
+from shutterlake.llm import op01_quality, op08_decontaminate, op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
+    "op8_benchmark_decontamination": op08_decontaminate.op8_benchmark_decontamination,
+    "op10_simhash_near_dedup": op10_simhash.op10_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": op01_quality.SQL,
+    "op8_benchmark_decontamination": op08_decontaminate.SQL,
 }
