@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shutterlake.llm import op01_quality, op02_mixing, op08_decontaminate, op10_simhash
+from shutterlake.llm import op01_quality, op02_mixing, op07_tokens, op08_decontaminate, op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
     "op2_mixing_sources": op02_mixing.op2_mixing_sources,
+    "op7_token_files": op07_tokens.op7_token_files,
     "op8_benchmark_decontamination": op08_decontaminate.op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash.op10_simhash_near_dedup,
 }
