@@ -66,6 +66,8 @@ def judged(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRul
     again = F.filter("__s", lambda x, j: (F.get(F.col("__s"), j - 1)["h"] == x["h"]) | (F.get(F.col("__s"), j + 1)["h"] == x["h"]))
     df = df.select("*", F.sort_array(F.transform(again, lambda x: x["i"])).alias("__at"))
     covered = total(F.transform("__at", lambda x, j: F.least(F.lit(k), F.coalesce(F.get(F.col("__at"), j + 1) - x, F.lit(k)))))
+    # Always 0, and not deterministic: a filter on the result is then not pushed down into copies of all these expressions.
+    barrier = F.shiftright(F.monotonically_increasing_id(), 63)
     lost = total(F.transform(F.arrays_zip("__lines", "__bad"), lambda x: F.when(x["__bad"], _word_chars(x["__lines"])).otherwise(F.lit(0))))
     df = df.select(
         *(F.col(f"`{c}`") for c in own),
@@ -73,7 +75,7 @@ def judged(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRul
         _word_chars(F.col("__text")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__spoken") - F.size(F.array_distinct("__spoken"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        (F.coalesce(covered, F.lit(0)).cast("long") + barrier).alias("n_repeat_words"),
         lost.cast("long").alias("lost_chars"),
         F.when(F.col(f"`{text}`").isNotNull(), F.array_join(F.filter("__lines", lambda x, i: ~F.get(F.col("__bad"), i)), "\n")).alias("cleaned_text"),
     )
