@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shutterlake.llm import op01_quality, op02_mixing, op04_language, op06_token_counts, op07_tokens, op08_decontaminate, op10_simhash
+from shutterlake.llm import op01_quality, op02_mixing, op04_language, op06_token_counts, op07_tokens, op08_decontaminate, op09_pii, op10_simhash
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": op06_token_counts.op6_token_counts,
     "op7_token_files": op07_tokens.op7_token_files,
     "op8_benchmark_decontamination": op08_decontaminate.op8_benchmark_decontamination,
+    "op9_personal_data": op09_pii.op9_personal_data,
     "op10_simhash_near_dedup": op10_simhash.op10_simhash_near_dedup,
 }
 
