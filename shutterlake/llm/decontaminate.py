@@ -106,9 +106,9 @@ def without_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """docs with the words of every span taken out of the text, each with what parts it from the next word."""
     found = hits(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text}`").alias("__body")), items, text="__body", **kw)
     cut = found.where(F.size("spans") > 0).select("__id", F.col("text_hash").alias("__hash"), hit_places(F.col("spans")).alias("__places")).dropDuplicates(["__id", "__hash"])
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    lead = F.regexp_extract(F.col(text), "^" + WORD_GAP, 0)
-    pieces = F.regexp_extract_all(F.col(text), F.lit(word + "+" + WORD_GAP[:-1] + "*"), F.lit(0))
+    between = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # of the text as it is, with A-Z in words
+    lead = F.regexp_extract(F.col(text), f"^[{between}]+", 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"[^{between}]+[{between}]*"), F.lit(0))
     left = F.concat(lead, F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("__places", i)), ""))
     joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__id"]) & (F.xxhash64(docs[text]) == cut["__hash"]), "left")
     return joined.select(*(F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else docs[c] for c in docs.columns))
