@@ -87,7 +87,7 @@ def hamming_pairs(df: DataFrame, most: int, key: str = "id", bits: str = "bits",
     base = df.select(F.col(key).alias("k"), F.col(bits).alias("x"), fresh.alias("fresh"))
     bands, probes = [], []
     for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        value = F.shiftrightunsigned("x", lo).bitwiseAND((1 << (hi - lo)) - 1)
+        value = F.shiftrightunsigned("x", lo).bitwiseAND(_signed((1 << (hi - lo)) - 1))
         masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(hi - lo), r)]
         bands.append(F.struct(F.lit(n).alias("n"), value.alias("band")))
         probes.append(_probe(n, value, masks))
@@ -98,8 +98,12 @@ def hamming_pairs(df: DataFrame, most: int, key: str = "id", bits: str = "bits",
     return near.select(F.col("k").alias("a"), F.col("k2").alias("b"), "distance").distinct()
 
 
+def _signed(v: int) -> int:
+    return v if v < 1 << 63 else v - (1 << 64)
+
+
 def _probe(n: int, value, masks: list[int]):
-    return F.transform(F.array(*(F.lit(v).cast("long") for v in masks)), lambda mask: F.struct(F.lit(n).alias("n"), value.bitwiseXOR(mask).alias("band")))
+    return F.transform(F.array(*(F.lit(_signed(v)).cast("long") for v in masks)), lambda mask: F.struct(F.lit(n).alias("n"), value.bitwiseXOR(mask).alias("band")))
 
 
 def ratio_pairs(df: DataFrame, ratio: float, key: str = "id", area: str = "area", group: list[str] = ()) -> DataFrame:
