@@ -329,3 +329,54 @@ def orphan_persons(faces: DataFrame, persons: DataFrame) -> DataFrame:
 def to_index(photos: DataFrame, indexed: DataFrame, errors: DataFrame) -> DataFrame:
     """Images that are neither indexed nor failed."""
     return photos.where(~C.is_video("path")).join(indexed, "path", "left_anti").join(errors, "path", "left_anti")
+
+
+def unassign_from_cluster(faces: DataFrame, cluster_id: int, person_id: int) -> DataFrame:
+    hit = F.coalesce((F.col("cluster_id") == cluster_id) & (F.col("person_id") == person_id), F.lit(False))
+    return faces.withColumn("person_id", F.when(~hit, F.col("person_id")))
+
+
+def unassign_faces(faces: DataFrame, ids: DataFrame, keep_cluster: bool = False) -> DataFrame:
+    """Faces lose their person and, unless keep_cluster is set, their cluster and pin."""
+    j = faces.join(ids.select("id", F.lit(True).alias("__hit")).distinct(), "id", "left")
+    free = F.col("__hit").isNotNull()
+    values = {"person_id": F.when(~free, F.col("person_id"))}
+    if not keep_cluster:
+        values |= {"cluster_id": F.when(~free, F.col("cluster_id")), "pinned": F.when(free, False).otherwise(F.col("pinned"))}
+    return j.withColumns(values).select(*faces.columns)
+
+
+def isolate_and_assign(faces: DataFrame, ids: DataFrame, person_id: int) -> DataFrame:
+    return assign_person(isolate(faces, ids), ids, person_id)
+
+
+def isolate_and_suggest(faces: DataFrame, ids: DataFrame, best: DataFrame, least: float) -> DataFrame:
+    """Faces of ids are isolated; best (id, person_id, score) is suggested where the score reaches least."""
+    apart = isolate(faces, ids)
+    b = best.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("score") >= least).select("id", F.col("person_id").alias("__p"), F.col("score").alias("__s"))
+    j = apart.join(b, "id", "left")
+    return j.withColumns({"suggestion_person_id": F.coalesce("__p", "suggestion_person_id"), "suggestion_score": F.coalesce("__s", "suggestion_score")}).select(*faces.columns)
+
+
+def add_face(faces: DataFrame, face: DataFrame) -> DataFrame:
+    return faces.unionByName(face, allowMissingColumns=True)
+
+
+def delete_faces(faces: DataFrame, ids: DataFrame) -> DataFrame:
+    return faces.join(ids.select("id"), "id", "left_anti").select(*faces.columns)
+
+
+def regrouped_singletons(best: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(person_id, clusters): clusters of one face that have the same suggested person, if there are at least two."""
+    single = best.join(sizes.where("n = 1").select("cluster_id"), "cluster_id", "left_semi")
+    return single.groupBy("person_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("cluster_id")).alias("clusters")).where("n > 1").select("person_id", "clusters")
+
+
+def panel_order(faces: DataFrame) -> DataFrame:
+    """Named faces first, then from left to right."""
+    return faces.orderBy(F.col("person_id").isNull(), "x", "id")
+
+
+def group_order(groups: DataFrame) -> DataFrame:
+    """Largest groups first, by clusters and then by faces. groups: (group_id, n_clusters, n_faces)."""
+    return groups.orderBy(F.col("n_clusters").desc(), F.col("n_faces").desc(), "group_id")

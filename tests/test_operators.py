@@ -110,3 +110,22 @@ def test_image_hash():
     assert clustering.fingerprint_image(np.full((20, 20), 9.0))[1] is None
     d = rng.integers(0, 256, (20, 32), dtype=np.uint8)
     assert clustering.keypoint_matches(d, d) == 20
+
+
+def test_face_changes(spark):
+    schema = "id long, photo_id long, x long, w long, h long, cluster_id long, person_id long, suggestion_person_id long, suggestion_score double, ignored boolean, pinned boolean"
+    df = spark.createDataFrame([(1, 1, 5, 9, 9, 3, 7, None, None, False, False), (2, 1, 2, 9, 9, 3, None, None, None, False, True), (3, 2, 0, 9, 9, -4, 8, None, None, False, True)], schema)
+    ids = spark.createDataFrame([(1,)], "id long")
+    row = lambda d, i: d.where(f"id = {i}").first()
+    r = row(faces.unassign_faces(df, ids), 1)
+    assert (r.person_id, r.cluster_id, r.pinned) == (None, None, False)
+    assert row(faces.unassign_from_cluster(df, 3, 7), 1).person_id is None and row(faces.unassign_from_cluster(df, 3, 7), 3).person_id == 8
+    r = row(faces.isolate_and_assign(df, ids, 9), 1)
+    assert (r.person_id, r.cluster_id, r.pinned) == (9, -5, True)
+    r = row(faces.isolate_and_suggest(df, ids, spark.createDataFrame([(1, 6, 0.8), (2, 6, 0.9)], "id long, person_id long, score double"), 0.5), 1)
+    assert (r.cluster_id, r.person_id, r.suggestion_person_id) == (-5, None, 6)
+    assert [x.id for x in faces.panel_order(df).collect()] == [3, 1, 2]
+    assert faces.delete_faces(df, ids).count() == 2
+    best = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "cluster_id long, person_id long")
+    sizes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 9)], "cluster_id long, n long")
+    assert [tuple(r) for r in faces.regrouped_singletons(best, sizes).collect()] == [(5, [1, 2])]
