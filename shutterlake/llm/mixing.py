@@ -119,7 +119,7 @@ def _slots(spark, sources: list[dict], plan: MixPlan) -> DataFrame:
     full, final = expected(plan.shard_slots), expected(last)
     drawn = spark.range(shards).withColumnRenamed("id", "shard").select("shard", F.explode(F.when(F.col("shard") < shards - 1, counts(*full)).otherwise(counts(*final))).alias("c")).select("shard", "c.*")
     before = F.coalesce(F.sum("count").over(Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = drawn.select("no", "n", before.alias("first"), "count").where("count > 0")
+    placed = drawn.select("no", "n", before.alias("first"), "count").where("count > 0").repartition(max(1, total // 200_000), "no", "first")
     each = placed.select("no", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("k")).where(F.col("k") < plan.max_times * F.col("n"))
     turn = F.floor(F.col("k") / F.col("n"))
     each = each.select("no", "n", F.pmod("k", "n").alias("k"), turn.alias("turn"))
@@ -148,7 +148,7 @@ def taken(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     sized = _sized(docs, id_col, text, source)
     sources, frame = _sources(sized, plan)
     times = _slots(docs.sparkSession, sources, plan).groupBy("no", "block").agg(F.count("*").alias("times"))
-    joined = _pieces(sized, frame, plan).join(times, ["no", "block"], "left")
+    joined = _pieces(sized, frame, plan).join(times.hint("merge"), ["no", "block"], "left")
     per_row = joined.groupBy("no", "bucket", "place", "id", "size").agg(F.sum(F.coalesce(F.col("n") * F.col("times"), F.lit(0))).alias("taken"))
     return per_row.join(F.broadcast(frame.select("no", "source_size", "target")), "no").select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
@@ -163,7 +163,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     sized = _sized(docs, id_col, text, source)
     sources, frame = _sources(sized, plan)
     slots = _slots(docs.sparkSession, sources, plan)
-    got = _pieces(sized, frame, plan).join(slots, ["no", "block"]).join(F.broadcast(frame.select("no", F.col("source").alias("__source"))), "no")
+    got = _pieces(sized, frame, plan).join(slots.hint("merge"), ["no", "block"]).join(F.broadcast(frame.select("no", F.col("source").alias("__source"))), "no")
     parts = got.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "__source").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "lo", "n"))).alias("__parts"))  # 3 times the document's blocks
     body = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`")))
     on = body[id_col].eqNullSafe(parts["__id"]) & (body["__h"] == parts["__hash"]) & body[source].eqNullSafe(parts["__source"])
