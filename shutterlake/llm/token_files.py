@@ -32,15 +32,19 @@ from shutterlake.llm import rans
 
 #: The byte-level split pattern of the vocabulary's tokenizer (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 300_000
+KEPT_PIECES = 600_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Controls that are white space to one regular expression library and not to another.
+_ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _CHARS_AT_ONCE = 2_000_000
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 class Encoder:
     """Ids of texts as packed little-endian bytes, with a bounded table of pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,40 +53,75 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(SPLIT).findall
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > KEPT_PIECES:
-            self.pieces.clear()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ends = (np.cumsum(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))) * self.dtype.itemsize).tolist()
-            data = np.array(got.ids, dtype=self.dtype).tobytes()
-            self.pieces.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+        self.firsts: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _lines_ids(self, lines: list[str]) -> list[bytes]:
+        """Ids of strings without line ends that start or end in no more than a space, encoded as the lines of one text, which is cut at its line ends."""
+        out, size = [], self.dtype.itemsize
+        for at in range(0, len(lines), 20_000):
+            part = lines[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the pieces of a text are not the tokenizer's own")
+            data = ids.tobytes()
+            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
+            out += map(data.__getitem__, map(slice, starts, ends))
+        return out
+
+    def _know(self, wanted: set[str], lead: str, known: dict[str, bytes]) -> None:
+        """Ids of strings, each with lead before it."""
+        missing = wanted.difference(known)
+        if len(known) + len(missing) > self.kept:  # the table is emptied: all that is wanted is learnt anew
+            known.clear()
+            missing = wanted
+        blank = [w for w in missing if w.isspace()]
+        known.update((w, self._plain(w)) for w in blank)
+        words = list(missing.difference(blank))
+        known.update(zip(words, self._lines_ids([lead + w for w in words])))
+
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """Units by line, if single spaces and line ends are a text's only white space; there the pattern always parts pieces."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return None
+        lines = [line.split(" ") for line in text.split("\n")]
+        return lines if sum(map(len, lines)) == len(text.split()) else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else self.find(t) for t in texts]
-        words = set().union(*(w for w in split if w))
-        missing = words.difference(self.pieces)
-        if missing:
-            if len(self.pieces) + len(missing) > KEPT_PIECES:  # the table is emptied: all words of these texts are learnt anew
-                missing = words
-            self._learn(sorted(missing))
-        get = self.pieces.__getitem__
-        return [self._plain(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        plain = [_ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        lines = [None if p else self._lines(t) for p, t in zip(plain, texts)]
+        found = [None if p or x else self.find(t) for p, x, t in zip(plain, lines, texts)]
+        firsts, others = set(), set()
+        for text in lines:
+            for line in text or ():
+                firsts.add(line[0])
+                others.update(line[1:])
+        self._know(firsts, "", self.firsts)
+        self._know(others, " ", self.others)
+        self._know({"\n"}.union(*(w for w in found if w)), "", self.pieces)
+        first, other, piece, end = self.firsts.__getitem__, self.others.__getitem__, self.pieces.__getitem__, self.pieces["\n"]
+        out = []
+        for text, x, w in zip(texts, lines, found):
+            if x is not None:
+                out.append(end.join([first(line[0]) + b"".join(map(other, line[1:])) for line in x]))
+            else:
+                out.append(self._plain(text) if w is None else b"".join(map(piece, w)))
+        return out
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int, kept: int = KEPT_PIECES) -> DataFrame:
     """(shard, seq, id, n, before, ids, counts) in id order; counts is set in a shard's last row."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = src.schema["id"].dataType
@@ -90,7 +129,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: i
     schema = f"shard int, seq long, id {kind.simpleString()}, n long, before long, ids binary, counts array<struct<id:int,n:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, seq, before = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        enc, shard, seq, before = encoder(tokenizer, kept), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         counts = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
         counts_type = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
@@ -125,9 +164,15 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: i
     return ordered.mapInArrow(run, schema)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = rans.BLOCK_IDS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, segment_ids: int = rans.BLOCK_IDS, kept: int = KEPT_PIECES) -> None:
+    """kept: strings whose ids a Python worker holds at most, some 150 bytes each."""
     spark = docs.sparkSession
-    rows = scratch.written(tokenised(docs, tokenizer, id_col, text, end_id), "tokens")
+    batch = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, 1000)
+    try:
+        rows = scratch.written(tokenised(docs, tokenizer, id_col, text, end_id, kept), "tokens")
+    finally:
+        spark.conf.set(_BATCH, batch)
     # One row per shard, and one per id of the vocabulary.
     totals = sorted((r.shard, r.n) for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect())
     offsets = dict(zip((s for s, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist()))
@@ -142,7 +187,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     schema = f"shard int, seq long, start long, n_ids long, doc_ids array<{kind}>, lengths array<bigint>, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, dtype = rans.Table(shared.value[0]), encoder(tokenizer).dtype
+        table, dtype = rans.Table(shared.value[0]), encoder(tokenizer, kept).dtype
         open_, size = [], 0
 
         def close() -> pa.RecordBatch:
@@ -200,8 +245,8 @@ def documents(spark: SparkSession, path: str, with_ids: bool = True, id_col: str
     return segments.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 2, kept: int = KEPT_PIECES) -> DataFrame:
     """Write the token files of docs in the shared folder and read their index and checksums back."""
     path = scratch.new_path(docs.sparkSession, "token-files")
-    write(docs, path, tokenizer, id_col, text, end_id)
+    write(docs, path, tokenizer, id_col, text, end_id, kept=kept)
     return documents(docs.sparkSession, path, with_ids=False, id_col=id_col)
