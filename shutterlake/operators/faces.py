@@ -235,7 +235,12 @@ def greedy_matches(scores: DataFrame) -> DataFrame:
                 rows.append(row)
         return frame.iloc[:0] if not rows else type(frame)(rows, columns=frame.columns)
 
-    return scores.groupBy("photo_id").applyInPandas(run, scores.schema)
+    # A photo of one annotation has no conflict: its best face is a native maximum.
+    marked = scores.withColumn("__n", F.size(F.collect_set("annotation").over(Window.partitionBy("photo_id"))))
+    alone = marked.where("__n = 1").groupBy("photo_id", "annotation").agg(F.max(F.struct(F.col("score"), (-F.col("face")).alias("f"))).alias("t"))
+    alone = alone.select("photo_id", "annotation", (-F.col("t.f")).alias("face"), F.col("t.score").alias("score"))
+    several = marked.where("__n > 1").select(*scores.columns)
+    return alone.select(*scores.columns).unionByName(several.groupBy("photo_id").applyInPandas(run, scores.schema))
 
 
 def consume_annotations(annotations: DataFrame, faces: DataFrame, least: float = 0.30) -> DataFrame:
