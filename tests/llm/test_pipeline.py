@@ -1,6 +1,10 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from shutterlake.llm import minhash, simhash
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -19,3 +23,46 @@ def test_stages_and_run(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     again = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, docs.select(*again.columns).collect()))
+
+
+def test_near_dedup_stage_drops_edited_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = ["w%d" % i for i in range(2000)]
+    rows, texts = [], {}
+
+    def add(i, words):
+        texts[i] = words
+        rows.append((i, " ".join(words)))
+
+    for i in range(60):
+        a = rng.choices(vocab, k=rng.choice([60, 120, 300]))
+        b = list(a)
+        for j in rng.sample(range(len(a)), rng.randrange(1, len(a) // 30 + 1)):
+            b[j] = rng.choice(vocab)
+        add(i, a)
+        add(1000 + i, b)
+    base = rng.choices(vocab, k=200)
+    for i in range(100):  # a crowd: like the base, less like each other
+        c = list(base)
+        for j in rng.sample(range(200), rng.randrange(1, 5)):
+            c[j] = rng.choice(vocab)
+        add(3000 + i, c)
+    rows += [(5000, None), (5001, ""), (None, "w1 w2 w3 w4 w5 w6 w7"), (5002, "w1"), (5003, "W1 ")]
+
+    def shingles(w):
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    sets = {i: shingles(w) for i, w in texts.items()}
+    label = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    want = set(label.values()) | {5000, None, 5002}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
+    assert got == want and len(want) < 130
+    assert len({r.doc_id for r in simhash.kept_one(docs).collect()}) > len(want) + 50, "the old stage kept these"
+    monkeypatch.setattr(minhash, "CROWDED", 4)
+    assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()} == want
