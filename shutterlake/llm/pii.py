@@ -2,10 +2,9 @@
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches per
 kind that pass a check of their digits. They seed the bootstrap: the two words
-before a span are a lexical pattern. A pattern with at least ``min_support``
-distinct seed values and a share of ``min_share`` of all seed spans (so there
-are 1 / min_share patterns at most, however large the corpus) is scored on the
-graph of patterns and the instances that fill their slot: an instance's score is 1 for a seed, else the mean of its
+before a span are a lexical pattern. Every pattern with at least ``min_support``
+distinct seed values is scored on the graph of patterns and the instances that
+fill their slot: an instance's score is 1 for a seed, else the mean of its
 patterns' scores by count; a pattern's score is the sum of its instances' scores
 over all occurrences of its two words, whatever follows. After ``rounds``
 rounds, words with a digit or @ that fill the slot of a pattern with a score of
@@ -38,6 +37,7 @@ _FIND = {
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 CONTEXT_CHARS = 200
+MARKS = 1 << 18
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,20 +119,25 @@ def _free_words(spans: DataFrame) -> DataFrame:
     return marked.where((F.col("kind") == 4) & (F.col("match") != "") & (F.coalesce("__b", F.lit(0)) <= F.col("start")) & (F.coalesce("__a", F.col("end")) >= F.col("end"))).drop("__b", "__a")
 
 
-def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, min_share: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """((l1, l2, kind, score) of every supported pattern, free candidate words), both written."""
     seeds = spans.where("kind between 0 and 3 and l2 <> ''")
     words = scratch.written(_free_words(spans), "candidates")
     by_kind = seeds.groupBy("l1", "l2", "kind").agg(F.count("*").alias("n"), F.collect_set(F.pmod(F.xxhash64("match"), F.lit(1024))).alias("values"))  # 1024 at most
-    support = by_kind.groupBy("l1", "l2").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("values")))).alias("support"), F.sum("n").alias("n"))
-    least = seeds.count() * min_share
-    named = scratch.written(support.where((F.col("support") >= min_support) & (F.col("n") >= least)).select("l1", "l2", "kind", F.xxhash64("l1", "l2").alias("p")), "patterns")
+    support = by_kind.groupBy("l1", "l2").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("values")))).alias("support"))
+    named = scratch.written(support.where(F.col("support") >= min_support).select("l1", "l2", "kind", F.xxhash64("l1", "l2").alias("p")), "patterns")
     if named.isEmpty():
         return named.withColumn("score", F.lit(0.0)), words
     # How often the two words of a pattern occur at all, with a word after them.
     w = docs.select(words_of(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 2)
     slots = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("p"))
-    totals = slots.join(F.broadcast(named.select("p")), "p").groupBy("p").agg(F.count("*").alias("total"))  # 1 / min_share patterns at most
+    # A table of hashes leaves out nearly all pairs of words that are no pattern; the rest are summed before they
+    # meet the patterns, so the join has a row a pair of words, however often a pattern occurs.
+    marks = bytearray(MARKS)
+    for r in named.select(F.pmod("p", F.lit(MARKS)).alias("mark")).distinct().collect():  # MARKS at most
+        marks[r.mark] = 1
+    marked = F.substring(F.lit(bytes(marks)), F.pmod("p", F.lit(MARKS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    totals = slots.where(marked).groupBy("p").agg(F.count("*").alias("total")).join(named.select("p"), "p")
     named = scratch.written(named.join(totals, "p", "left").select("p", "l1", "l2", "kind", F.greatest(F.coalesce("total", F.lit(1)), F.lit(1)).alias("total")), "patterns")
     filled = seeds.select("l1", "l2", "match", F.lit(1.0).alias("seed")).unionAll(words.where("l2 <> ''").select("l1", "l2", "match", F.lit(0.0).alias("seed")))
     counted = filled.groupBy("l1", "l2", "match").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
@@ -147,11 +152,11 @@ def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, min_share: fl
     return pattern, words
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_support: int = 5, min_share: float = 0.002, min_score: float = 0.5, rounds: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_support: int = 5, min_score: float = 0.5, rounds: int = 3) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base, spans): base and spans are sorted arrays of (start, kind number, end)."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     spans = _spans(src)
-    patterns, words = _patterns(src, spans, min_support, min_share, rounds)
+    patterns, words = _patterns(src, spans, min_support, rounds)
     sure = patterns.where(F.col("score") >= min_score).select("l1", "l2", F.col("kind").alias("as_kind"))
     more = words.where("l2 <> ''").join(sure, ["l1", "l2"]).select("id", "th", F.lit(4).alias("kind"), "start", "end", "as_kind", "copies")
     rows = spans.where("kind < 4").select("id", "th", "kind", "start", "end", F.col("kind").alias("as_kind"), "copies").unionAll(more)

@@ -61,3 +61,11 @@ def test_query_and_empty(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r.spans.split(","))if base else True
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rare_contexts_stay_beside_many_seeds(spark):
+    rows = [(i, f"mail w{i % 40} to x{i}@mail.example") for i in range(6000)]
+    rows += [(10_000 + i, f"the rare context user{i}@mail.example") for i in range(6)] + [(20_000, "the rare context jo42(at)mail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).select("doc_id", pii.told(pii.F.col("spans")).alias("spans")).collect()}
+    assert got[20_000] == "email:17:29" and got[10_000] == "email:17:35"
