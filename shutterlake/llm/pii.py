@@ -26,7 +26,9 @@ from shutterlake import scratch
 from shutterlake.llm.text import ascii_lower, words_of
 
 KINDS = ("email", "ip", "card", "phone")
-_WORD = r"[^\x20\x09-\x0D]"
+_WORD, _SEPARATOR = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+#: The last two words; the second may touch what follows.
+_TWO_WORDS = rf"({_WORD}++){_SEPARATOR}++({_WORD}++){_SEPARATOR}*+$"
 _FIND = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -59,31 +61,49 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, kind: int, pattern: str) -> Column:
-    """(kind, i, gap, size, match, left) of every match, in order; gap: code points since the match before."""
+    """(kind, i, gap, size, match, left) of every match, in order; gap: code points since the match before, left: the two words before."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return _tied(matches, F.split(text, pattern, -1), kind)
 
 
 def _tied(matches: Column, gaps: Column, kind: int) -> Column:
-    left = r"(" + _WORD + r"+)[\x20\x09-\x0D]+(" + _WORD + r"+)[\x20\x09-\x0D]*$"
-    return F.transform(
-        F.arrays_zip(matches.alias("m"), gaps.alias("g")),
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"),
-            i.alias("i"),
-            F.length(x["g"]).alias("gap"),
-            F.length(x["m"]).alias("size"),
-            x["m"].alias("match"),
-            F.regexp_extract(ascii_lower(F.right(x["g"], F.lit(CONTEXT_CHARS))), left, 1).alias("l1"),
-            F.regexp_extract(ascii_lower(F.right(x["g"], F.lit(CONTEXT_CHARS))), left, 2).alias("l2"),
-        ),
+    # Bound once as z, so that a match can look at those before it.
+    return F.flatten(
+        F.transform(
+            F.array(F.arrays_zip(matches.alias("m"), gaps.alias("g"))),
+            lambda z: F.transform(
+                z,
+                lambda x, i: F.struct(
+                    F.lit(kind).alias("kind"),
+                    i.alias("i"),
+                    F.length(x["g"]).alias("gap"),
+                    F.length(x["m"]).alias("size"),
+                    x["m"].alias("match"),
+                    F.when(x["m"].isNotNull(), _left(z, x, i)).otherwise("").alias("left"),
+                ),
+            ),
+        )
+    )
+
+
+def _left(z: Column, x: Column, i: Column) -> Column:
+    """The end of the text before a match with its last two words: of the gap, or of two more matches and gaps, or of all before."""
+    gap = F.right(x["g"], F.lit(CONTEXT_CHARS))
+    one, two = F.get(z, i - 1), F.get(z, i - 2)
+    near = F.right(F.concat_ws("", F.right(two["g"], F.lit(CONTEXT_CHARS)), two["m"], one["g"], one["m"], x["g"]), F.lit(CONTEXT_CHARS))
+    whole = F.concat(F.array_join(F.transform(F.slice(z, 1, i), lambda y: F.concat(y["g"], y["m"])), ""), x["g"])
+    # Shorter than the window, it begins with the text.
+    return (
+        F.when(gap.rlike(_SEPARATOR + _TWO_WORDS) | ((i == 0) & (F.length(gap) < CONTEXT_CHARS)), gap)
+        .when(near.rlike(_SEPARATOR + _TWO_WORDS) | ((i <= 2) & (F.length(near) < CONTEXT_CHARS)), near)
+        .otherwise(F.regexp_extract(whole, rf"(?:^|{_SEPARATOR}){_TWO_WORDS}", 0))
     )
 
 
 def _spans(docs: DataFrame) -> DataFrame:
     """(id, th, kind, i, start, end, match, l1, l2, copies): base matches, candidate words (kind 4), and a row of kind -1 per document; written."""
     body = F.coalesce("text", F.lit(""))
-    marker = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit("").alias("match"), F.lit("").alias("l1"), F.lit("").alias("l2")))
+    marker = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit("").alias("match"), F.lit("").alias("left")))
     empty = F.slice(marker, 1, 0)
     digits = body.rlike("[0-9]")
     # Without a digit there is no ip, card or phone; without either sign nothing at all.
@@ -92,6 +112,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     sets += [F.when(F.contains(body, F.lit("+")) & digits, _found(body, 3, _FIND["phone"])).otherwise(empty)]
     sets += [F.when(body.rlike("[0-9@]"), _found(body, 4, _FIND["word"])).otherwise(empty)]
     rows = docs.select("id", F.xxhash64(body).alias("th"), F.explode(F.concat(marker, *(F.filter(s, lambda x: x["match"].isNotNull()) for s in sets))).alias("x")).select("id", "th", "x.*")
+    rows = rows.select("*", *(F.regexp_extract(ascii_lower(F.col("left")), rf"(?:^|{_SEPARATOR}){_TWO_WORDS}", k).alias(f"l{k}") for k in (1, 2))).drop("left")
     once = rows.groupBy("id", "th", "kind", "i").agg(F.first("gap").alias("gap"), F.first("size").alias("size"), F.first("match").alias("match"), F.first("l1").alias("l1"), F.first("l2").alias("l2"), F.count("*").alias("copies"))
     run = Window.partitionBy("id", "th", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(run)

@@ -69,3 +69,22 @@ def test_rare_contexts_stay_beside_many_seeds(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.personal_data(df).select("doc_id", pii.told(pii.F.col("spans")).alias("spans")).collect()}
     assert got[20_000] == "email:17:29" and got[10_000] == "email:17:35"
+
+
+def test_contexts_of_adjacent_matches_and_long_words(spark):
+    long = "x" * 300
+    texts = ["in 2020 contact jo42(at)mail", "a@b.c d@e.f g@h.i j@k.l", "see 1.2.3.4,5.6.7.8,9.9.9.9,4.4.4.4 now 7", f"one {long} {long} a7", "b1 b2", "", "7 8", "p\n\nq  r5 s6 é7 t8(x@y.z)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = pii._spans(df).where("kind >= 0").collect()
+    assert len(rows) > 20
+    for r in rows:
+        start = r.start if r.kind < 4 else texts[r.id].rindex(" ", 0, r.start) + 1 if " " in texts[r.id][: r.start] else 0
+        before = texts[r.id][: r.start].lower().split()
+        if r.kind < 4 or start == r.start:
+            assert (r.l1, r.l2) == (tuple(before[-2:]) if len(before) > 1 else ("", "")), (texts[r.id], r)
+
+
+def test_word_after_another_candidate_is_found(spark):
+    rows = [(i, f"in 2020 contact user{i}@mail.example") for i in range(8)] + [(20, "in 2020 contact jo42(at)mail")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.told(pii.F.col("spans")).alias("spans")).collect()}
+    assert got[20] == "email:16:28"
