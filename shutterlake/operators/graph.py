@@ -16,11 +16,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end or a loop are ignored.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = scratch.written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    both = scratch.written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", gathered=True)
+    labels = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", gathered=True)
     signature = None
     for _ in range(max_rounds):
-        jumped = scratch.written(_follow(labels), "labels")
+        jumped = scratch.written(_follow(labels), "labels", gathered=True)
         scratch.drop(labels)
         now = jumped.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label"))).first()
         if now == signature:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         signature = now
         seen = both.join(jumped, both.b == jumped.node).select(both.a.alias("node"), "label")
         lowest = seen.unionAll(jumped.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
-        labels = scratch.written(lowest, "labels")
+        labels = scratch.written(lowest, "labels", gathered=True)
         scratch.drop(jumped)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

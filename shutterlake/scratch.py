@@ -6,7 +6,6 @@ and the result survives the loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +14,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where the setting is unset."""
+    """The shared folder of the session; a folder of our own only where the setting is unset and all tasks run in this process."""
     base = spark.conf.get(CHECKPOINT_CONF, "") or None
     if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="shutterlake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = f"file:///tmp/shutterlake-{uuid.uuid4().hex}"
         spark.conf.set(CHECKPOINT_CONF, base)
     return base.rstrip("/")
 
@@ -27,10 +28,17 @@ def new_path(spark: SparkSession, label: str = "table") -> str:
     return f"{shared_dir(spark)}/shutterlake/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df once and return the written table; its path is in ``.scratch_path``."""
+def written(df: DataFrame, label: str = "table", gathered: bool = False) -> DataFrame:
+    """Write df once and return the written table; its path is in ``.scratch_path``.
+
+    gathered: for tables that come out of a shuffle and are small beside it.
+    Their tasks take several partitions each, four tasks a core at least, so
+    that a table is not hundreds of tiny files where partitions are not merged.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if gathered:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
