@@ -143,10 +143,10 @@ def _free_words(spans: DataFrame) -> DataFrame:
 def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, rounds: int) -> tuple[DataFrame, DataFrame]:
     """((l1, l2, kind, score) of every supported pattern, free candidate words), both written."""
     seeds = spans.where("kind between 0 and 3 and l2 <> ''")
-    words = scratch.written(_free_words(spans), "candidates")
+    words = scratch.written(_free_words(spans), "candidates", gathered=True)
     by_kind = seeds.groupBy("l1", "l2", "kind").agg(F.count("*").alias("n"), F.collect_set(F.pmod(F.xxhash64("match"), F.lit(1024))).alias("values"))  # 1024 at most
     support = by_kind.groupBy("l1", "l2").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("values")))).alias("support"))
-    named = scratch.written(support.where(F.col("support") >= min_support).select("l1", "l2", "kind", F.xxhash64("l1", "l2").alias("p")), "patterns")
+    named = scratch.written(support.where(F.col("support") >= min_support).select("l1", "l2", "kind", F.xxhash64("l1", "l2").alias("p")), "patterns", gathered=True)
     if named.isEmpty():
         return named.withColumn("score", F.lit(0.0)), words
     # How often the two words of a pattern occur at all, with a word after them.
@@ -159,17 +159,17 @@ def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, rounds: int)
         marks[r.mark] = 1
     marked = F.substring(F.lit(bytes(marks)), F.pmod("p", F.lit(MARKS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
     totals = slots.where(marked).groupBy("p").agg(F.count("*").alias("total")).join(named.select("p"), "p")
-    named = scratch.written(named.join(totals, "p", "left").select("p", "l1", "l2", "kind", F.greatest(F.coalesce("total", F.lit(1)), F.lit(1)).alias("total")), "patterns")
+    named = scratch.written(named.join(totals, "p", "left").select("p", "l1", "l2", "kind", F.greatest(F.coalesce("total", F.lit(1)), F.lit(1)).alias("total")), "patterns", gathered=True)
     filled = seeds.select("l1", "l2", "match", F.lit(1.0).alias("seed")).unionAll(words.where("l2 <> ''").select("l1", "l2", "match", F.lit(0.0).alias("seed")))
     counted = filled.groupBy("l1", "l2", "match").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    graph = scratch.written(counted.join(named.select("l1", "l2", "p"), ["l1", "l2"]).select("p", F.xxhash64("match").alias("x"), "n", "seed"), "graph")
-    instance = scratch.written(graph.groupBy("x").agg(F.max("seed").alias("score")), "instances")
+    graph = scratch.written(counted.join(named.select("l1", "l2", "p"), ["l1", "l2"]).select("p", F.xxhash64("match").alias("x"), "n", "seed"), "graph", gathered=True)
+    instance = scratch.written(graph.groupBy("x").agg(F.max("seed").alias("score")), "instances", gathered=True)
     for step in range(rounds):
         scored = graph.join(instance, "x").groupBy("p").agg(F.sum(F.col("n") * F.col("score")).alias("sum"))
-        pattern = scratch.written(named.join(scored, "p", "left").select("p", "l1", "l2", "kind", F.least(F.lit(1.0), F.coalesce(F.col("sum") / F.col("total"), F.lit(0.0))).alias("score")), "scores")
+        pattern = scratch.written(named.join(scored, "p", "left").select("p", "l1", "l2", "kind", F.least(F.lit(1.0), F.coalesce(F.col("sum") / F.col("total"), F.lit(0.0))).alias("score")), "scores", gathered=True)
         if step + 1 < rounds:
             mean = F.sum(F.col("n") * F.col("score")) / F.sum("n")
-            instance = scratch.written(graph.join(pattern.select("p", "score"), "p").groupBy("x").agg(F.when(F.max("seed") == 1, 1.0).otherwise(mean).alias("score")), "instances")
+            instance = scratch.written(graph.join(pattern.select("p", "score"), "p").groupBy("x").agg(F.when(F.max("seed") == 1, 1.0).otherwise(mean).alias("score")), "instances", gathered=True)
     return pattern, words
 
 

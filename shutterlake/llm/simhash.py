@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shutterlake import scratch
-from shutterlake.llm import minhash
+from shutterlake.llm import bands, minhash
 from shutterlake.operators.graph import connected_components
 
 SEED = 42
@@ -97,8 +97,8 @@ def _keys() -> Column:
 def links(fps: DataFrame) -> DataFrame:
     """(src, dst) edges between the distinct fingerprints of column fp, whose components are those of all links."""
     keyed = fps.select("fp", F.explode(_keys()).alias("key"))
-    sizes = scratch.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "block-sizes")
-    met = scratch.written(keyed.join(sizes, "key"), "blocks")
+    sizes = scratch.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "block-sizes", gathered=True)
+    met = scratch.written(keyed.join(sizes, "key"), "blocks", gathered=True)
     few = met.where(F.col("n") <= CROWDED)
     a, b = few.select("key", F.col("fp").alias("src")), few.select("key", F.col("fp").alias("dst"))
     pairs = a.join(b, "key").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 2)).select("src", "dst")
@@ -115,9 +115,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = scratch.written(fingerprints(docs, id_col, text, shingle), "fingerprints")
     firsts = scratch.written(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     groups = connected_components(links(firsts.select("fp")))
-    named = scratch.written(firsts.join(groups, firsts.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group")), "named")
-    lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("component_id")), "lowest")
-    ids = scratch.written(named.join(lowest, "group").select(F.col("fp").alias("of"), "component_id"), "components")
+    named = scratch.written(firsts.join(groups, firsts.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group")), "named", gathered=True)
+    lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("component_id")), "lowest", gathered=True)
+    ids = scratch.written(named.join(lowest, "group").select(F.col("fp").alias("of"), "component_id"), "components", gathered=True)
     return rows.join(ids, rows.fp == ids.of).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -180,20 +180,20 @@ def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = _signatures(src, shingle)
     firsts = scratch.written(rows.groupBy("content").agg(F.min("id").alias("first"), F.first("size").alias("x"), F.first("keys").alias("keys")), "contents")
-    members = minhash.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node"), "x"))
+    members = bands.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node"), "x"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = scratch.written(pairs.select(F.col("src").alias("content")).unionAll(pairs.select("dst")).distinct().join(firsts.select("content", "first"), "content"), "asked")
+        asked = scratch.written(pairs.select(F.col("src").alias("content")).unionAll(pairs.select("dst")).distinct().join(firsts.select("content", "first"), "content"), "asked", gathered=True)
         texts = src.join(asked.select("first").distinct(), src["id"].eqNullSafe(F.col("first")), "left_semi").select("text")
         sets = scratch.written(_sets(texts, shingle).join(asked.select("content"), "content").dropDuplicates(["content"]), "sets")
         a, b = sets.toDF("src", "ha"), sets.toDF("dst", "hb")
         common = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(a, "src").join(b, "dst").where(common >= least * (F.size("ha") + F.size("hb") - common) - 1e-9).select("src", "dst")
 
-    edges = minhash.links(members, lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9, verified)
+    edges = bands.links(members, lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9, verified)
     groups = connected_components(reduce(DataFrame.unionAll, edges))
-    named = scratch.written(firsts.join(groups, firsts.content == groups.node, "left").select("content", "first", F.coalesce("component", "content").alias("group")), "named")
-    lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest")
-    of = scratch.written(named.join(lowest, "group").select("content", "lowest"), "components")
+    named = scratch.written(firsts.join(groups, firsts.content == groups.node, "left").select("content", "first", F.coalesce("component", "content").alias("group")), "named", gathered=True)
+    lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest", gathered=True)
+    of = scratch.written(named.join(lowest, "group").select("content", "lowest"), "components", gathered=True)
     gone = rows.join(of, "content").where(F.col("id") != F.col("lowest")).select(F.col("id").alias("__gone")).distinct()
     return _once(docs.join(gone, docs[id_col] == gone["__gone"], "left_anti"), id_col, text)
