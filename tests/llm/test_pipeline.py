@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from shutterlake.llm import minhash, simhash
+from shutterlake.llm import bands, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,5 +64,5 @@ def test_near_dedup_stage_drops_edited_copies(spark, monkeypatch):
     got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
     assert got == want and len(want) < 130
     assert len({r.doc_id for r in simhash.kept_one(docs).collect()}) > len(want) + 50, "the old stage kept these"
-    monkeypatch.setattr(minhash, "CROWDED", 4)
+    monkeypatch.setattr(bands, "CROWDED", 4)
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()} == want
