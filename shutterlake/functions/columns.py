@@ -206,7 +206,7 @@ def size_text(n) -> Column:
     """Bytes in steps of 1024, rounded down."""
     n = col(n)
     step = lambda k, unit: F.concat(F.floor(n / (1024**k)).cast("string"), F.lit(" " + unit))
-    return F.when(n < 1024, step(0, "B")).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+    return F.when(n < 1024, step(0, "B")).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).when(n < 1024**4, step(3, "GB")).otherwise(step(4, "TB"))
 
 
 def exposure_text(seconds) -> Column:
@@ -242,19 +242,3 @@ def filter_steps(chain) -> Column:
     pairs = F.transform(items, lambda s: F.struct(F.trim(F.substring_index(s, "=", 1)).alias("k"), F.split(F.regexp_replace(s, "^[^=]*=", ""), ",").alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
-
-
-def edit_modified(e: str = "") -> Column:
-    """True if a row of edits changes its photo; channel weights alone, vignette and frame parameters alone do not count."""
-    c = lambda n: F.col(e + n)
-    zero = ["brightness", "contrast", "saturation", "sharpness", "noise", "rotation", "straighten"]
-    flags = ["flip_h", "flip_v", "bw", "vignette", "frame"]
-    tests = [F.coalesce(c(n), F.lit(0)) != 0 for n in zero] + [F.coalesce(c(n), F.lit(False)) for n in flags] + [F.coalesce(c("gamma"), F.lit(1.0)) != 1.0, c("crop").isNotNull()]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
-
-
-def edit_signature(state, modified) -> Column:
-    return F.when(col(modified), F.substring(F.md5(col(state)), 1, 16)).otherwise(F.lit(""))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shutterlake.functions import columns as C
 from shutterlake.operators import catalog as K, clustering as G, faces as P, history as H
+from shutterlake.plans.base import ORACLE_SQL, QUERIES, query as _query
 from shutterlake.sources import adapters as A
 
 FLAGSHIP = "photos_search_advanced"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 _IOU = "(CASE WHEN {a}.w*{a}.h+{b}.w*{b}.h-{o}>0 THEN CAST({o} AS DOUBLE)/({a}.w*{a}.h+{b}.w*{b}.h-{o}) ELSE 0 END)"
 _OVERLAP = "(greatest(least({a}.x+{a}.w,{b}.x+{b}.w)-greatest({a}.x,{b}.x),0)*greatest(least({a}.y+{a}.h,{b}.y+{b}.h)-greatest({a}.y,{b}.y),0))"
 
@@ -19,21 +18,6 @@ def _iou(a: str, b: str) -> str:
     return _IOU.format(a=a, b=b, o=_OVERLAP.format(a=a, b=b))
 
 
-def _query(name: str, views: tuple[str, ...], sql: str | None):
-    """Register a query over views, and its SQL."""
-
-    def wrap(f):
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            return f(*(getattr(A, v)(spark, sf) for v in views))
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE_SQL[name] = A.with_views(sql, *views)
-        return f
-
-    return wrap
-
-
 CRITERIA = K.Search(date_from="1994-01-01", date_to="1996-12-31", camera="canon m", directory="/lib/EUROPE", min_rating=2, tags=("vacances",))
 
 # --- search and views -----------------------------------------------------
@@ -235,3 +219,5 @@ _query("filter_chain_parse", ("photos",), "SELECT id, 'crop,tilt' AS names, CAST
     lambda p: p.select("id", C.filter_steps(F.concat(F.lit("tilt=1,0;crop=1,"), F.lpad(F.hex("id"), 16, "0"), F.lit(";junk;=3;tilt=1,"), (F.col("id") % 9).cast("string"), F.lit(";"))).alias("m")).select("id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"), F.get(F.element_at("m", "tilt"), F.lit(1)).alias("tilt"))
 )
 _query("media_type_backfill", ("photos",), "SELECT id, media_type FROM photos")(lambda p: K.backfill_media_type(p.withColumn("media_type", F.lit(None).cast("string"))).select("id", "media_type"))
+
+from shutterlake.plans import catalog_queries, face_queries, format_queries  # noqa: E402, F401  they register themselves

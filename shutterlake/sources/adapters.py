@@ -64,6 +64,18 @@ def edit_history(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").cast("long").alias("id"), F.col("user_id").cast("long").alias("photo"), F.col("event_type").alias("operation"), F.col("props").alias("state_json"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
 
 
+#: Edit states as JSON, by id modulo their number.
+_STATES = (
+    "{}", '{"brightness": 0.25, "flip_h": true}', '{"bw_red": 0.5, "bw_green": 1.0, "frame_width": 0.2, "vignette_cx": 0.3}', '{"crop": [0.1, 0.2, 0.5, 0.25], "frame_type": ""}', "not json", '{"gamma": 1.5, "gamma_curve_points": [[0.0, 0.0], [1.0, 1.0]], "vignette_rx2": 0.9}',
+    '{"color_green": -0.5, "frame_inner_relief": false}', '{"annotations": [{"id": 7}]}', '{"frame_type": "plain", "crop": []}', '{"gamma_use_curve": true}', '{"vignette_strength": 0.0, "rotation": 0.0, "bw": false}', '{"red_eye_regions": [[1.0, 2.0, 3.0]], "frame_type": null}',
+)
+
+
+def edit_states(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("o_orderkey").cast("long")
+    return table(spark, sf, "orders").select(i.alias("id"), F.get(F.array(*map(F.lit, _STATES)), (i % len(_STATES)).cast("int")).alias("state_json"))
+
+
 def journal(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id") % 4
     event = F.when(i == 0, "START").when(i == 1, "STEP").when(i == 2, "END").otherwise("ERROR")
@@ -106,6 +118,7 @@ SQL_VIEWS = {
     "journal": "SELECT CAST(event_id AS BIGINT) AS id, event_type AS thread, CASE event_id%4 WHEN 0 THEN 'START' WHEN 1 THEN 'STEP' WHEN 2 THEN 'END' ELSE 'ERROR' END AS event, CAST(value*10 AS DOUBLE) AS elapsed_ms, CAST(ts AS TIMESTAMP) AS ts FROM events",
     "albums": "SELECT CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id, name FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)",
 }
+SQL_VIEWS["edit_states"] = f"SELECT CAST(o_orderkey AS BIGINT) AS id, {list(_STATES)!r}[o_orderkey % {len(_STATES)} + 1] AS state_json FROM orders"
 SQL_VIEWS["album_photos"] = f"SELECT a.id AS album_id, p.id AS photo_id FROM ({SQL_VIEWS['photos']}) p JOIN ({SQL_VIEWS['albums']}) a ON a.name = split_part(p.directory, '/', 5) WHERE p.id % 3 = 0"
 
 
