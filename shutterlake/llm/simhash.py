@@ -29,7 +29,6 @@ sets themselves are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -180,7 +179,7 @@ def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = _signatures(src, shingle)
     firsts = scratch.written(rows.groupBy("content").agg(F.min("id").alias("first"), F.first("size").alias("x"), F.first("keys").alias("keys")), "contents")
-    members = bands.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node"), "x"))
+    members = bands.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = scratch.written(pairs.select(F.col("src").alias("content")).unionAll(pairs.select("dst")).distinct().join(firsts.select("content", "first"), "content"), "asked", gathered=True)
@@ -190,8 +189,7 @@ def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
         common = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(a, "src").join(b, "dst").where(common >= least * (F.size("ha") + F.size("hb") - common) - 1e-9).select("src", "dst")
 
-    edges = bands.links(members, lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9, verified)
-    groups = connected_components(reduce(DataFrame.unionAll, edges))
+    groups = bands.links(members, firsts.select(F.col("content").alias("node"), "x"), lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9, verified)
     named = scratch.written(firsts.join(groups, firsts.content == groups.node, "left").select("content", "first", F.coalesce("component", "content").alias("group")), "named", gathered=True)
     lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest", gathered=True)
     of = scratch.written(named.join(lowest, "group").select("content", "lowest"), "components", gathered=True)
