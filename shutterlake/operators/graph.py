@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from shutterlake import scratch
 
@@ -20,9 +20,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     labels = scratch.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", gathered=True)
     signature = None
     for _ in range(max_rounds):
-        jumped = scratch.written(_follow(labels), "labels", gathered=True)
+        # Whether labels still change is told by a sum that the write takes along.
+        told = Observation()
+        jumped = scratch.written(_follow(labels).observe(told, F.sum(F.xxhash64("node", "label").cast("decimal(20,0)")).alias("sum")), "labels", gathered=True)
         scratch.drop(labels)
-        now = jumped.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "label"))).first()
+        now = told.get["sum"]
         if now == signature:
             labels = jumped
             break
