@@ -113,3 +113,17 @@ def ratio_pairs(df: DataFrame, ratio: float, key: str = "id", area: str = "area"
     sent = base.select(*group, F.col("k").alias("k2"), F.col("s").alias("s2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     near = (F.col("k") < F.col("k2")) & (F.greatest("s", "s2") <= ratio * F.least("s", "s2"))
     return base.join(sent, [*group, "bucket"]).where(near).select(*group, F.col("k").alias("a"), F.col("k2").alias("b"))
+
+
+def near_any(probes: DataFrame, rows: DataFrame, ratio: float, key: str = "id", area: str = "area") -> DataFrame:
+    """(key) of the rows whose area is within a factor of that of any probe but themselves.
+
+    A row meets the distinct areas of probes in its logarithmic bucket and the two
+    beside it, each area once with the lowest and highest of its keys.
+    """
+    bucket = lambda c: F.floor(F.log(float(ratio), c)).cast("long")
+    areas = probes.where(F.col(area) > 0).groupBy(F.col(area).cast("double").alias("pa")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    sent = areas.select("pa", "lo", "hi", F.explode(F.array(*(bucket(F.col("pa")) + d for d in (-1, 0, 1)))).alias("bucket"))
+    asked = rows.where(F.col(area) > 0).select(F.col(key).alias("k"), F.col(area).cast("double").alias("a")).withColumn("bucket", bucket(F.col("a")))
+    near = (F.greatest("a", "pa") <= ratio * F.least("a", "pa")) & ((F.col("lo") != F.col("k")) | (F.col("hi") != F.col("k")))
+    return asked.join(sent, "bucket").where(near).select(F.col("k").alias(key)).distinct()

@@ -153,6 +153,29 @@ def purge_orphans(members: DataFrame, photos: DataFrame) -> DataFrame:
     return members.join(photos.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select(*members.columns)
 
 
+def create_album(albums: DataFrame, name: str) -> DataFrame:
+    """Albums with one more, whose id is the next."""
+    new = albums.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast(albums.schema["id"].dataType).alias("id")).withColumn("name", F.lit(name))
+    return albums.select("id", "name").unionByName(new)
+
+
+#: Persons have ids and names as albums do.
+create_person = create_album
+
+
+def rename_person(persons: DataFrame, person_id: int, name: str) -> DataFrame:
+    return persons.withColumn("name", F.when(F.col("id") == person_id, name).otherwise(F.col("name")))
+
+
+def delete_person(persons: DataFrame, person_id: int) -> DataFrame:
+    return persons.where(F.col("id") != person_id)
+
+
+def named_like(persons: DataFrame, text: str) -> DataFrame:
+    """Persons whose name holds a text, whatever its case."""
+    return persons.where(F.contains(F.lower("name"), F.lit(text.lower())))
+
+
 def delete_album(albums: DataFrame, members: DataFrame, album_id: int) -> tuple[DataFrame, DataFrame]:
     return albums.where(F.col("id") != album_id), members.where(F.col("album_id") != album_id)
 
@@ -179,6 +202,14 @@ def rename_folder(photos: DataFrame, old: str, new: str) -> DataFrame:
     return photos.withColumns({"path": C.moved("path", old, new), "directory": C.moved("directory", old, new)})
 
 
+def rename_photo(photos: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """(photos with the new path, one row that says if any was renamed)."""
+    hit = F.col("path") == old
+    folder, name = new.rsplit("/", 1)
+    renamed = photos.withColumns({"path": F.when(hit, new).otherwise(F.col("path")), "directory": F.when(hit, folder).otherwise(F.col("directory")), "filename": F.when(hit, name).otherwise(F.col("filename"))})
+    return renamed, photos.agg((F.count_if(hit) > 0).alias("changed"))
+
+
 def set_rating(photos: DataFrame, ids: DataFrame, stars: int) -> DataFrame:
     return _where_id(photos, ids, "rating", F.greatest(F.lit(0), F.least(F.lit(5), F.lit(stars))).cast("long"))
 
@@ -187,6 +218,10 @@ def set_favorite(photos: DataFrame, ids: DataFrame, value: bool) -> DataFrame:
     return _where_id(photos, ids, "is_favorite", F.lit(value))
 
 
+def set_tags(photos: DataFrame, ids: DataFrame, tags: list[str]) -> DataFrame:
+    return _where_id(photos, ids, "tags", C.normal_tags(F.array(*map(F.lit, tags)).cast("array<string>")))
+
+
 def tag(photos: DataFrame, ids: DataFrame, new: list[str]) -> DataFrame:
     return _where_id(photos, ids, "tags", C.add_tags("tags", new))
 
@@ -247,6 +282,46 @@ def assign_groups(photos: DataFrame, assignments: DataFrame) -> DataFrame:
     return dissolve_singletons(marked.withColumn("duplicate_group_id", F.when(F.col("__hit"), F.col("gid")).otherwise(F.col("duplicate_group_id"))).select(*photos.columns))
 
 
+def count_groups(photos: DataFrame) -> DataFrame:
+    return photos.agg(F.countDistinct("duplicate_group_id").alias("n_groups"), F.count("duplicate_group_id").alias("n_photos"))
+
+
+def group_assignments(photos: DataFrame) -> DataFrame:
+    return photos.where("duplicate_group_id is not null").select("path", "duplicate_group_id")
+
+
+def members_of_group(photos: DataFrame, group_id: int) -> DataFrame:
+    return photos.where(F.col("duplicate_group_id") == group_id).orderBy(F.coalesce("date_taken", "mtime_ts"), "filename")
+
+
+def known_dates(photos: DataFrame, taken: str = "date_taken") -> DataFrame:
+    """(path, taken): dates from their text; null where it is none."""
+    return photos.select("path", F.try_to_timestamp(F.col(taken)).cast("timestamp_ntz").alias("taken"))
+
+
+def ignore_group(photos: DataFrame, group_id: int) -> DataFrame:
+    return photos.withColumn("duplicate_group_id", F.when(F.col("duplicate_group_id") != group_id, F.col("duplicate_group_id")))
+
+
+def apply_detection(photos: DataFrame, found: DataFrame, seed: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Photos after a detection pass: found (path, gid) without ignored paths is set, and paths of the seed that it no longer has leave their groups."""
+    kept = found.join(ignored.select("path"), "path", "left_anti")
+    stale = seed.select("path").distinct().join(kept, "path", "left_anti").select("path", F.lit(None).cast("long").alias("gid"))
+    ids = photos.select("id", "path").join(kept.select("path", "gid").unionByName(stale), "path").select("id", "gid")
+    return assign_groups(photos, ids)
+
+
+def folder_order(folders: DataFrame, by_time: bool = False, descending: bool = False) -> DataFrame:
+    """Folders (path, mtime) by the last part of their path, or by time."""
+    key = F.coalesce("mtime", F.lit(0.0)) if by_time else F.lower(F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.col("path")))
+    return folders.orderBy(key.desc() if descending else key.asc(), "path")
+
+
+def last_used(cache: DataFrame, keep: int) -> DataFrame:
+    """The rows (key, used_at) of a cache that stay: those used last."""
+    return cache.orderBy(F.col("used_at").desc(), "key").limit(keep)
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) between two listings: appeared or disappeared."""
     b, a = before.select("path", F.lit(True).alias("__b")), after.select("path", F.lit(True).alias("__a"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from shutterlake.functions import columns as C
 from shutterlake.operators import blocks
 from shutterlake.operators.graph import connected_components
+from shutterlake.operators.numbering import numbered
 
 
 def duplicate_pairs(fingerprints: DataFrame, most: int = 10, day: str | None = "day", new: str | None = None) -> DataFrame:
@@ -26,6 +27,13 @@ def groups(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
+def renumbered(members: DataFrame) -> DataFrame:
+    """(id, group_no): groups of several members numbered 1, 2, ... by their smallest member. members: (id, group_id)."""
+    sizes = members.groupBy("group_id").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    places = numbered(sizes.select("group_id", "first"), "first", "group_no")
+    return members.join(places.select("group_id", "group_no"), "group_id").select("id", "group_no")
+
+
 def micro_difference(a, b):
     """Mean absolute difference of two small normalised images."""
     return F.aggregate(F.zip_with(C.col(a), C.col(b), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(C.col(a))

@@ -29,6 +29,21 @@ def save_edit(current: DataFrame, history: DataFrame, edit: DataFrame, most: int
     return kept.unionByName(now), capped(history.unionByName(edit.select(*history.columns)), most)
 
 
+def delete_edits(current: DataFrame, history: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(current, history) without photos (photo)."""
+    gone = photos.select("photo").distinct()
+    return tuple(t.join(gone, "photo", "left_anti").select(*t.columns) for t in (current, history))
+
+
+def rename_edits(current: DataFrame, history: DataFrame, old, new) -> tuple[DataFrame, DataFrame]:
+    return tuple(t.withColumn("photo", F.when(F.col("photo") == old, F.lit(new)).otherwise(F.col("photo")).cast(t.schema["photo"].dataType)) for t in (current, history))
+
+
+def push_history(history: DataFrame, states: DataFrame, most: int = 50) -> DataFrame:
+    """History with states from before an operation; what is current stays as it is."""
+    return capped(history.unionByName(states.select(*history.columns)), most)
+
+
 def thread_report(journal: DataFrame, slow_ms: float = 500, critical_ms: float = 2000) -> DataFrame:
     """(thread, runs, avg_ms, max_ms, errors, last_event, severity) of each thread."""
     ended = F.col("event") == "END"

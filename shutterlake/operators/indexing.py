@@ -15,6 +15,11 @@ def mark_errors(errors: DataFrame, new: DataFrame) -> DataFrame:
     return newest(errors, kept.select(*errors.columns), "path")
 
 
+def errors_of(errors: DataFrame, excluded: bool | None = None) -> DataFrame:
+    """Failed photos; all, or only those that are excluded or not."""
+    return errors if excluded is None else errors.where(F.coalesce("excluded", F.lit(False)) == excluded)
+
+
 def set_excluded(errors: DataFrame, paths: DataFrame, excluded: bool, now: float) -> DataFrame:
     """A photo without an error gets a row only to be excluded."""
     hit = paths.select("path").distinct().withColumn("__hit", F.lit(True))
@@ -58,12 +63,6 @@ def remapped(faces: DataFrame, updates: DataFrame, gone: DataFrame) -> DataFrame
     return kept.select(*(F.coalesce(f"__{c}", c).alias(c) if c in P.BOX else F.col(c) for c in faces.columns))
 
 
-def released(annotations: DataFrame, faces: DataFrame, least: float = 0.30) -> DataFrame:
-    """Consumed annotations that overlap faces whose person was taken away are free again."""
-    hit = P.box_pairs(annotations, faces, least).select(F.col("a").alias("id"), F.lit(True).alias("__hit")).distinct()
-    return annotations.join(hit, "id", "left").withColumn("consumed", F.col("consumed") & F.col("__hit").isNull()).select(*annotations.columns)
-
-
 def best_rotation(detections: DataFrame) -> DataFrame:
     """(photo_id, rotation): 0 if that finds a face, else the quarter turn with most faces, the smallest of equals. detections: (photo_id, rotation, n_faces)."""
     upright = F.max(F.when(F.col("rotation") == 0, F.col("n_faces")))

@@ -27,7 +27,7 @@ _query(FLAGSHIP, ("photos",), """SELECT id, path, rating, coalesce(date_taken, m
  AND rating>=2 AND list_contains(tags, 'vacances')""")(lambda p: K.search(p, CRITERIA).select("id", "path", "rating", F.coalesce("date_taken", "mtime_ts").alias("effective_date")))
 _query("photos_text_search", ("photos",), "SELECT id, filename FROM photos WHERE contains(lower(filename), 'nik') OR contains(lower(coalesce(camera_make,'')), 'nik') OR contains(lower(camera_model), 'nik')")(lambda p: K.text_search(p, "Nik").select("id", "filename"))
 _query("photos_by_tag", ("photos",), "SELECT id FROM photos WHERE list_contains(tags, 'vacances')")(lambda p: K.by_tag(p, "VACANCES").select("id"))
-_query("photos_in_folder", ("photos",), "SELECT id FROM photos WHERE directory='/lib/ASIA/JAPAN/BUILDING'")(lambda p: K.in_folder(p, "/lib/ASIA/JAPAN/BUILDING").select("id"))
+_query("photos_in_folder", ("photos",), "SELECT id, path FROM photos WHERE split_part(path, '/', 4)='NATION_10' AND split_part(path, '/', 5)='BUILDING'")(lambda p: K.in_folder(p, "/lib/AFRICA/NATION_10/BUILDING").select("id", "path"))
 _query("photos_in_folder_recursive", ("photos",), "SELECT id, path FROM photos WHERE directory='/lib/ASIA' OR starts_with(directory,'/lib/ASIA/')")(lambda p: K.in_folder(p, "/lib/ASIA", True).select("id", "path"))
 _query("photos_min_rating", ("photos",), "SELECT id, rating FROM photos WHERE rating>=4")(lambda p: K.min_rating(p, 4).select("id", "rating"))
 _query("photos_of_album", ("photos", "album_photos"), "SELECT p.id, p.path FROM photos p JOIN album_photos a ON a.photo_id=p.id WHERE album_id=2")(lambda p, m: K.album_view(p, m, 2).select("id", "path"))
@@ -59,7 +59,7 @@ _query("recursive_folder_counts", ("photos",), """SELECT f AS directory, (SELECT
     lambda p: K.recursive_counts(p, p.sparkSession.createDataFrame([(d,) for d in ("/lib", "/lib/ASIA", "/lib/EUROPE/FRANCE", "/lib/EUROPE/FRANCE/MACHINERY", "/nowhere")], "directory string"))
 )
 _query("all_tags", ("photos",), "SELECT DISTINCT unnest(tags) AS tag FROM photos")(K.all_tags)
-_query("tag_states", ("photos",), "SELECT tag, CASE WHEN count(*)=(SELECT count(*) FROM photos WHERE id%10=0) THEN 'all' ELSE 'some' END AS state FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM photos WHERE id%10=0) GROUP BY tag")(lambda p: K.tag_states(p.where("id % 10 = 0")))
+_query("tag_states", ("photos",), "SELECT tag, CASE WHEN count(*)=(SELECT count(*) FROM photos WHERE is_favorite) THEN 'all' ELSE 'some' END AS state FROM (SELECT id, unnest(list_distinct(tags)) AS tag FROM photos WHERE is_favorite) GROUP BY tag")(lambda p: K.tag_states(p.where("is_favorite")))
 _query("distinct_cameras", ("photos",), "SELECT DISTINCT trim(concat_ws(' ', camera_make, camera_model)) AS camera FROM photos")(K.cameras)
 _query("albums_with_counts", ("albums", "album_photos"), "SELECT id, name, (SELECT count(*) FROM album_photos WHERE album_id=albums.id) AS n_photos FROM albums")(K.album_counts)
 _query("clusters_by_size", ("faces",), "SELECT cluster_id, count(*) AS n FROM faces GROUP BY 1")(P.clusters_by_size)
@@ -87,9 +87,10 @@ _query("set_cover_face", ("faces",), "SELECT id, is_cover FROM (SELECT id, CASE
 _DEDUP = "SELECT id, CASE WHEN person_id IS NOT NULL AND NOT ignored THEN row_number() OVER (PARTITION BY photo_id, person_id, ignored ORDER BY w*h DESC, id) > 1 ELSE ignored END AS ignored FROM {0}"
 _query("face_dedup_row_number", ("faces",), _DEDUP.format("faces"))(lambda f: P.dedup_faces(f).select("id", "ignored"))
 _query("restore_orphaned_ignored", ("faces",), """SELECT id, CASE WHEN person_id IS NOT NULL AND bool_and(ignored) OVER (PARTITION BY photo_id, person_id) AND row_number() OVER (PARTITION BY photo_id, person_id ORDER BY w*h DESC, id)=1 THEN FALSE ELSE ignored END AS ignored FROM faces""")(lambda f: P.restore_orphans(f).select("id", "ignored"))
-_query("auto_ignore_thresholds", ("faces", "photos"), """WITH s AS (SELECT f.*, least(f.w, f.h) AS side, greatest(22, floor(least(p.width, p.height)*0.03)) AS base, least(p.width, p.height) AS short FROM faces f JOIN photos p ON p.id=f.photo_id),
- t AS (SELECT *, min(side) FILTER (side >= greatest(base*2, floor(short*0.20))) OVER (PARTITION BY photo_id) AS front FROM s)
- SELECT id, side < greatest(base, coalesce(front/4.0, 0)) OR det_score < 0.65 AS auto_ignored FROM t""")(lambda f, p: P.auto_ignore(f, p.select(F.col("id").alias("photo_id"), "width", "height")).select("id", "auto_ignored"))
+_query("auto_ignore_thresholds", ("faces", "photos"), """WITH s AS (SELECT f.id, f.photo_id, f.det_score, least(f.w, f.h) AS side, least(p.width, p.height) AS short FROM faces f LEFT JOIN (SELECT * FROM photos WHERE id%10<>3) p ON p.id=f.photo_id),
+ b AS (SELECT *, CASE WHEN short IS NULL THEN 121 ELSE greatest(22, floor(short*0.03)) END AS base FROM s), q AS (SELECT *, CASE WHEN short IS NULL THEN 121 ELSE greatest(base*2, floor(short*0.20)) END AS front FROM b),
+ t AS (SELECT *, min(side) FILTER (side >= front) OVER (PARTITION BY photo_id) AS least_front FROM q)
+ SELECT id, side < (CASE WHEN least_front IS NOT NULL THEN least_front*0.25 ELSE base END) OR det_score < 0.65 AS auto_ignored FROM t""")(lambda f, p: P.auto_ignore(f, p.where("id % 10 <> 3").select(F.col("id").alias("photo_id"), "width", "height")).select("id", "auto_ignored"))
 _query("edit_history_cap50", ("edit_history",), "SELECT id, photo FROM (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY id DESC) AS r FROM edit_history) WHERE r<=50")(lambda h: H.capped(h).select("id", "photo"))
 _query("edit_history_latest20", ("edit_history",), "SELECT id, operation FROM edit_history WHERE photo=7 ORDER BY id DESC LIMIT 20")(lambda h: H.latest(h, 7).select("id", "operation"))
 _query("journal_thread_report", ("journal",), """SELECT *, CASE WHEN coalesce(max_ms,0)>=2000 OR errors>0 THEN 'critical' WHEN coalesce(max_ms,0)>=500 THEN 'slow' ELSE 'ok' END AS severity FROM
@@ -117,20 +118,22 @@ _query("tags_union", ("photos",), "SELECT id, CASE WHEN id%4=0 THEN array_to_str
 _query("tags_remove", ("photos",), "SELECT id, array_to_string(list_filter(tags, lambda t: t<>'vacances' OR id%20<>0), ',') AS tags FROM photos")(lambda p: K.untag(p, p.where("id % 20 = 0"), "vacances").select("id", F.array_join("tags", ",").alias("tags")))
 _query("album_add_ignore", ("album_photos",), "SELECT album_id, photo_id FROM album_photos UNION SELECT 1, photo_id FROM album_photos WHERE album_id=2")(lambda m: K.add_to_album(m, m.where("album_id = 2").select(F.lit(1).cast("long").alias("album_id"), "photo_id"))[0])
 _query("orphan_album_purge", ("album_photos", "photos"), "SELECT album_id, photo_id FROM album_photos WHERE photo_id IN (SELECT id FROM photos WHERE rating>0)")(lambda m, p: K.purge_orphans(m, p.where("rating > 0")))
-_query("dissolve_singletons", ("photos",), "SELECT id, CASE WHEN count(*) OVER (PARTITION BY duplicate_group_id) > 1 THEN duplicate_group_id END AS duplicate_group_id FROM photos WHERE id%2=0")(lambda p: K.dissolve_singletons(p.where("id % 2 = 0")).select("id", "duplicate_group_id"))
+_query("dissolve_singletons", ("photos",), "SELECT id, CASE WHEN count(*) OVER (PARTITION BY duplicate_group_id) > 1 THEN duplicate_group_id END AS duplicate_group_id FROM photos WHERE rating>=3")(lambda p: K.dissolve_singletons(p.where("rating >= 3")).select("id", "duplicate_group_id"))
 _query("dup_conflicting_dates", ("photos",), "SELECT duplicate_group_id, count(DISTINCT date_taken) AS n_dates FROM photos WHERE duplicate_group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT date_taken)>1")(K.conflicting_groups)
 _query("dup_groups_members", ("photos",), "SELECT duplicate_group_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS members FROM photos WHERE duplicate_group_id IS NOT NULL GROUP BY 1 HAVING count(*)>1")(K.group_members)
 _query("assign_groups", ("photos",), """WITH a AS (SELECT id, CASE WHEN id%9=0 THEN CASE WHEN id%2=0 THEN id//90 END ELSE duplicate_group_id END AS g FROM photos)
  SELECT id, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 THEN CAST(g AS BIGINT) END AS duplicate_group_id FROM a""")(lambda p: K.assign_groups(p, p.where("id % 9 = 0").select("id", F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 90)).cast("long").alias("gid"))).select("id", "duplicate_group_id"))
 _query("delete_photos", ("photos", "album_photos"), "SELECT album_id, photo_id FROM album_photos WHERE photo_id%6<>0")(lambda p, m: K.delete_photos(p, m, p.where("id % 6 = 0").select("id"))[1])
 _query("snapshot_diff", ("photos",), "SELECT path, CASE WHEN id%5=0 THEN 'disappeared' ELSE 'appeared' END AS change FROM photos WHERE (id%5=0) <> (id%7=0)")(lambda p: K.snapshot_diff(p.where("id % 7 <> 0"), p.where("id % 5 <> 0")))
-_query("synthetic_clusters", ("faces",), "SELECT id, CASE WHEN id%3=0 AND person_id IS NOT NULL THEN 10000000+person_id WHEN id%3=0 THEN NULL ELSE cluster_id END AS cluster_id FROM faces")(lambda f: P.synthetic_clusters(f.withColumn("cluster_id", F.when(F.col("id") % 3 != 0, F.col("cluster_id")))).select("id", "cluster_id"))
-_query("propagate_person", ("faces",), "SELECT id, coalesce(person_id, CASE WHEN NOT ignored THEN min(person_id) OVER (PARTITION BY cluster_id) END) AS person_id FROM faces")(lambda f: P.propagate_person(f).select("id", "person_id"))
-_query("merge_persons", ("faces",), "WITH m AS (SELECT * REPLACE (CASE WHEN person_id=3 THEN 4 ELSE person_id END AS person_id) FROM faces) " + _DEDUP.format("m").replace("SELECT id,", "SELECT id, person_id,", 1))(lambda f: P.merge_persons(f, 3, 4).select("id", "person_id", "ignored"))
+_query("synthetic_clusters", ("faces",), "SELECT id, CASE WHEN person_id IS NOT NULL THEN 10000000+person_id WHEN id%3=0 THEN NULL ELSE cluster_id END AS cluster_id FROM faces")(lambda f: P.synthetic_clusters(f.withColumn("cluster_id", F.when(F.col("id") % 3 != 0, F.col("cluster_id")))).select("id", "cluster_id"))
+_query("propagate_person", ("faces",), "SELECT id, coalesce(person_id, min(person_id) OVER (PARTITION BY cluster_id)) AS person_id FROM faces")(lambda f: P.propagate_person(f).select("id", "person_id"))
+_query("merge_persons", ("faces",), """WITH m AS (SELECT * REPLACE (CASE WHEN person_id=3 THEN 4 ELSE person_id END AS person_id), photo_id IN (SELECT photo_id FROM faces WHERE person_id=3) AS hit FROM faces)
+ SELECT id, person_id, CASE WHEN hit AND person_id IS NOT NULL AND NOT ignored THEN row_number() OVER (PARTITION BY photo_id, person_id, ignored ORDER BY w*h DESC, id) > 1 ELSE ignored END AS ignored FROM m""")(lambda f: P.merge_persons(f, 3, 4).select("id", "person_id", "ignored"))
 _query("merge_clusters", ("faces",), "SELECT id, CASE WHEN cluster_id=8 THEN 9 ELSE cluster_id END AS cluster_id FROM faces")(lambda f: P.merge_clusters(f, 8, 9).select("id", "cluster_id"))
 _query("isolate_faces_sequence", ("faces",), "SELECT f.id, coalesce(-n.n, cluster_id) AS cluster_id FROM faces f LEFT JOIN (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM faces WHERE id%1000=1)) n USING (id)")(lambda f: P.isolate(f, f.where("id % 1000 = 1")).select("id", "cluster_id"))
 _query("unassign_person", ("faces",), "SELECT id, nullif(person_id, 6) AS person_id FROM faces")(lambda f: P.unassign_person(f, 6).select("id", "person_id"))
-_query("accept_suggestion", ("faces",), "SELECT id, CASE WHEN cluster_id=20 AND person_id IS NULL THEN suggestion_person_id ELSE person_id END AS person_id FROM faces")(lambda f: P.accept_suggestion(f, 20).select("id", "person_id"))
+_query("accept_suggestion", ("faces",), """WITH m AS (SELECT * REPLACE (CASE WHEN cluster_id=20 THEN (SELECT min(suggestion_person_id) FROM faces WHERE cluster_id=20) ELSE person_id END AS person_id, CASE WHEN cluster_id=20 THEN NULL ELSE suggestion_person_id END AS suggestion_person_id), photo_id IN (SELECT photo_id FROM faces WHERE cluster_id=20) AS hit FROM faces)
+ SELECT id, person_id, suggestion_person_id, CASE WHEN hit AND person_id IS NOT NULL AND NOT ignored THEN row_number() OVER (PARTITION BY photo_id, person_id, ignored ORDER BY w*h DESC, id) > 1 ELSE ignored END AS ignored FROM m""")(lambda f: P.accept_suggestion(f, 20).select("id", "person_id", "suggestion_person_id", "ignored"))
 _query("ignore_cluster", ("faces",), "SELECT id, ignored OR cluster_id=30 AS ignored FROM faces")(lambda f: P.ignore_cluster(f, 30).select("id", "ignored"))
 _query("orphan_persons", ("faces",), "SELECT id, CASE WHEN person_id<5 THEN person_id END AS person_id FROM faces")(lambda f: P.orphan_persons(f, f.sparkSession.range(5)).select("id", "person_id"))
 _query("date_sync_actions", ("photos",), "SELECT id, CASE WHEN date_taken IS NULL THEN 'no_date' WHEN year(date_taken) NOT BETWEEN 1990 AND 1998 THEN 'incoherent' WHEN abs(epoch_us(mtime_ts)+(id%3)*1000000-epoch_us(date_taken))<=1000000 THEN 'in_sync' ELSE 'set_file_date' END AS action FROM photos")(
@@ -197,10 +200,6 @@ _query("area_band_join", ("photos",), "SELECT a.duplicate_group_id, a.id AS a, b
 # --- boxes ----------------------------------------------------------------
 
 _query("iou_pairs", ("faces",), f"SELECT a.photo_id, a.id AS a, b.id AS b, round({_iou('a', 'b')}, 6) AS iou FROM faces a JOIN faces b ON a.photo_id=b.photo_id AND a.id<b.id WHERE {_iou('a', 'b')}>0.1")(lambda f: P.box_pairs(f, f, 0.1).where("a < b").withColumn("iou", F.round("iou", 6)))
-_CENTRE = "f.x+f.w//2 BETWEEN a.x AND a.x+a.w AND f.y+f.h//2 BETWEEN a.y AND a.y+a.h"
-_query("center_in_box_match", ("annotations", "faces"), f"SELECT a.photo_id, a.id AS annotation, f.id AS face, round(CASE WHEN {_CENTRE} THEN 1+{_iou('a', 'f')} ELSE {_iou('a', 'f')} END, 6) AS score FROM annotations a JOIN faces f ON a.photo_id=f.photo_id WHERE ({_CENTRE}) OR {_iou('a', 'f')}>=0.30")(lambda a, f: P.match_scores(a, f).withColumn("score", F.round("score", 6)))
-_query("greedy_box_match", ("annotations", "faces"), f"SELECT photo_id, annotation, face FROM (SELECT a.photo_id, a.id AS annotation, f.id AS face, row_number() OVER (PARTITION BY a.id ORDER BY CASE WHEN {_CENTRE} THEN 1+{_iou('a', 'f')} ELSE {_iou('a', 'f')} END DESC, f.id) AS r FROM annotations a JOIN faces f ON a.photo_id=f.photo_id WHERE ({_CENTRE}) OR {_iou('a', 'f')}>=0.30) WHERE r=1")(lambda a, f: P.greedy_matches(P.match_scores(a, f)).select("photo_id", "annotation", "face"))
-_query("consume_annotations", ("annotations", "faces"), f"SELECT id, id IN (SELECT a.id FROM annotations a JOIN faces f ON f.photo_id=a.photo_id AND f.person_id=a.person_id WHERE {_iou('a', 'f')}>0.30) AS consumed FROM annotations")(lambda a, f: P.consume_annotations(a, f).select("id", "consumed"))
 _query("orientation_remap", ("faces",), """SELECT id, CASE id%8+1 WHEN 2 THEN 4000-x-w WHEN 3 THEN 4000-x-w WHEN 5 THEN y WHEN 6 THEN 3000-y-h WHEN 7 THEN 3000-y-h WHEN 8 THEN y ELSE x END AS bx,
  CASE id%8+1 WHEN 3 THEN 3000-y-h WHEN 4 THEN 3000-y-h WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 4000-x-w WHEN 8 THEN 4000-x-w ELSE y END AS by, CASE WHEN id%8>=4 THEN h ELSE w END AS bw FROM faces""")(
     lambda f: f.select("id", C.oriented("x", "y", "w", "h", F.lit(4000), F.lit(3000), F.col("id") % 8 + 1).alias("b")).select("id", F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("b.w").alias("bw"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shutterlake.functions.columns import sign_bits
 
@@ -40,17 +40,36 @@ def faces(spark: SparkSession, sf: str) -> DataFrame:
         F.round(0.5 + c("l_discount") * 5, 6).cast("double").alias("det_score"), F.when(c("l_returnflag") != "N", c("l_suppkey") % 10).cast("long").alias("person_id"), (c("l_partkey") % 200).cast("long").alias("cluster_id"),
         ((c("l_linestatus") == "F") & (c("l_linenumber") == 4)).alias("ignored"), (c("l_linenumber") == 7).alias("pinned"), (c("l_partkey") % 50 == 0).alias("is_cover"),
         F.when((c("l_returnflag") == "N") & (c("l_suppkey") % 3 == 0), c("l_suppkey") % 10).cast("long").alias("suggestion_person_id"), F.round(c("l_tax") * 10, 6).cast("double").alias("suggestion_score"),
+        (c("l_linenumber") != 6).alias("has_embedding"),
     )
 
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(
-        c("l_orderkey").cast("long").alias("id"), c("l_orderkey").cast("long").alias("photo_id"), (c("l_partkey") % 600 + 10).cast("long").alias("x"), (c("l_suppkey") % 400 + 10).cast("long").alias("y"),
-        (40 + F.floor("l_quantity") * 3).cast("long").alias("w"), (40 + F.floor("l_quantity") * 4).cast("long").alias("h"), (c("l_suppkey") % 10).cast("long").alias("person_id"), F.lit(False).alias("consumed"),
+    return table(spark, sf, "lineitem").where("l_linenumber <= 3").select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).cast("long").alias("id"), c("l_orderkey").cast("long").alias("photo_id"), (c("l_partkey") % 600 + 10).cast("long").alias("x"), (c("l_suppkey") % 400 + 10).cast("long").alias("y"),
+        (40 + F.floor("l_quantity") * 3).cast("long").alias("w"), (40 + F.floor("l_quantity") * 4).cast("long").alias("h"), (c("l_suppkey") % 10).cast("long").alias("person_id"), ((c("l_linenumber") == 3) & (c("l_orderkey") % 4 == 0)).alias("consumed"),
     )
 
 
+#: What rows of one id differ in, in the order that picks one of them.
+_BY = ("x", "y", "w", "h", "det_score", "coalesce(person_id, -1)", "cluster_id", "ignored", "coalesce(suggestion_person_id, -1)", "suggestion_score")
+
+
+def _single(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row of each id; the driver's line numbers repeat within some orders."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*map(F.expr, columns)))
+    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
+def single_faces(spark: SparkSession, sf: str) -> DataFrame:
+    return _single(faces(spark, sf), _BY)
+
+
+def single_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    return _single(annotations(spark, sf), _BY[:4])
+
+
 def face_vectors(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     return table(spark, sf, "embeddings").select(v.cast("long").alias("face_id"), (v % 50).cast("long").alias("cluster_id"), F.when(v % 2 == 0, F.col("label")).cast("long").alias("person_id"), F.col("embedding"))
@@ -90,6 +109,10 @@ def albums(spark: SparkSession, sf: str) -> DataFrame:
     return names.join(F.broadcast(before), F.col("other") <= F.col("name")).groupBy("name").agg(F.count("*").alias("id")).select("id", "name")
 
 
+def persons(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"))
+
+
 def album_photos(spark: SparkSession, sf: str) -> DataFrame:
     p = photos(spark, sf).where("id % 3 = 0").select(F.col("id").alias("photo_id"), F.element_at(F.split("directory", "/"), -1).alias("name"))
     return p.join(F.broadcast(albums(spark, sf)), "name").select(F.col("id").alias("album_id"), "photo_id")
@@ -109,19 +132,27 @@ SQL_VIEWS = {
     "faces": """SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS photo_id, CAST(l_partkey%600 AS BIGINT) AS x, CAST(l_suppkey%400 AS BIGINT) AS y,
  CAST(20+floor(l_quantity)*3 AS BIGINT) AS w, CAST(20+floor(l_quantity)*4 AS BIGINT) AS h, round(CAST(0.5+l_discount*5 AS DOUBLE), 6) AS det_score, CASE WHEN l_returnflag<>'N' THEN CAST(l_suppkey%10 AS BIGINT) END AS person_id,
  CAST(l_partkey%200 AS BIGINT) AS cluster_id, (l_linestatus='F' AND l_linenumber=4) AS ignored, (l_linenumber=7) AS pinned, (l_partkey%50=0) AS is_cover,
- CASE WHEN l_returnflag='N' AND l_suppkey%3=0 THEN CAST(l_suppkey%10 AS BIGINT) END AS suggestion_person_id, round(CAST(l_tax*10 AS DOUBLE), 6) AS suggestion_score FROM lineitem""",
-    "annotations": """SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS photo_id, CAST(l_partkey%600+10 AS BIGINT) AS x, CAST(l_suppkey%400+10 AS BIGINT) AS y,
- CAST(40+floor(l_quantity)*3 AS BIGINT) AS w, CAST(40+floor(l_quantity)*4 AS BIGINT) AS h, CAST(l_suppkey%10 AS BIGINT) AS person_id, FALSE AS consumed FROM lineitem WHERE l_linenumber=1""",
+ CASE WHEN l_returnflag='N' AND l_suppkey%3=0 THEN CAST(l_suppkey%10 AS BIGINT) END AS suggestion_person_id, round(CAST(l_tax*10 AS DOUBLE), 6) AS suggestion_score,
+ l_linenumber<>6 AS has_embedding FROM lineitem""",
+    "annotations": """SELECT CAST(l_orderkey*10+l_linenumber AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS photo_id, CAST(l_partkey%600+10 AS BIGINT) AS x, CAST(l_suppkey%400+10 AS BIGINT) AS y,
+ CAST(40+floor(l_quantity)*3 AS BIGINT) AS w, CAST(40+floor(l_quantity)*4 AS BIGINT) AS h, CAST(l_suppkey%10 AS BIGINT) AS person_id, l_linenumber=3 AND l_orderkey%4=0 AS consumed FROM lineitem WHERE l_linenumber<=3""",
     "face_vectors": "SELECT CAST(vec_id AS BIGINT) AS face_id, CAST(vec_id%50 AS BIGINT) AS cluster_id, CASE WHEN vec_id%2=0 THEN CAST(label AS BIGINT) END AS person_id, embedding FROM embeddings",
     "fingerprints": f"SELECT CAST(vec_id AS BIGINT) AS id, CAST({_SIGNS} AS BIGINT) AS bits, CASE WHEN vec_id%3<>0 THEN CAST(vec_id%4 AS BIGINT) END AS day FROM embeddings",
     "edit_history": "SELECT CAST(event_id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS photo, event_type AS operation, props AS state_json, CAST(ts AS TIMESTAMP) AS created_at FROM events",
     "journal": "SELECT CAST(event_id AS BIGINT) AS id, event_type AS thread, CASE event_id%4 WHEN 0 THEN 'START' WHEN 1 THEN 'STEP' WHEN 2 THEN 'END' ELSE 'ERROR' END AS event, CAST(value*10 AS DOUBLE) AS elapsed_ms, CAST(ts AS TIMESTAMP) AS ts FROM events",
     "albums": "SELECT CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS id, name FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)",
 }
+for _name, _columns in (("faces", _BY), ("annotations", _BY[:4])):
+    SQL_VIEWS[f"single_{_name}"] = f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(_columns)}) AS place FROM ({SQL_VIEWS[_name]})) WHERE place=1"
+SQL_VIEWS["persons"] = "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name FROM supplier"
 SQL_VIEWS["edit_states"] = f"SELECT CAST(o_orderkey AS BIGINT) AS id, {list(_STATES)!r}[o_orderkey % {len(_STATES)} + 1] AS state_json FROM orders"
 SQL_VIEWS["album_photos"] = f"SELECT a.id AS album_id, p.id AS photo_id FROM ({SQL_VIEWS['photos']}) p JOIN ({SQL_VIEWS['albums']}) a ON a.name = split_part(p.directory, '/', 5) WHERE p.id % 3 = 0"
 
 
 def with_views(sql: str, *names: str) -> str:
-    """SQL over the views of these names."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names) + ("," + sql[len("WITH"):] if sql.startswith("WITH ") else " " + sql)
+    """SQL over the views of these names; views of single rows go by the name of all."""
+    views = ", ".join(f"{n.removeprefix('single_')} AS ({SQL_VIEWS[n]})" for n in names)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{start}{views}, {sql[len(start):]}"
+    return f"WITH {views} {sql}"

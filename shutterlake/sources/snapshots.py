@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 POINTER = T.StructType([T.StructField("version", T.LongType())])
 
@@ -64,3 +66,19 @@ def keep_known(tables: dict[str, DataFrame], paths: DataFrame, key: str = "path"
     """Tables without rows of paths that no longer exist."""
     known = paths.select(key).distinct()
     return {n: t.join(known, key, "left_semi").select(*t.columns) for n, t in tables.items()}
+
+
+def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return table.join(gone.select(key).distinct(), key, "left_anti").select(*table.columns)
+
+
+def purge_counts(tables: dict[str, DataFrame], paths: DataFrame, key: str = "path") -> DataFrame:
+    """(name, n): rows that keep_known takes out of each table."""
+    known = paths.select(key).distinct()
+    parts = [t.join(known, key, "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, t in sorted(tables.items())]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def all_keys(tables: list[DataFrame], key: str) -> DataFrame:
+    """The keys that any table has."""
+    return reduce(DataFrame.unionAll, (t.select(key) for t in tables)).distinct()

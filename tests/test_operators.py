@@ -64,11 +64,13 @@ def test_auto_ignore_cases(spark):
 
 
 def test_suggestion_tiers_first_wins(spark):
-    schema = "id long, cluster_id long, person_id long, suggestion_person_id long, suggestion_score double"
-    df = spark.createDataFrame([(1, 1, None, None, None), (2, 2, None, None, None), (3, 1, 7, None, None)], schema)
+    schema = "id long, cluster_id long, person_id long, suggestion_person_id long, suggestion_score double, photo_id long, w long, h long, ignored boolean"
+    place = [(1, 9, 9, False), (1, 5, 5, False), (2, 9, 9, False), (1, 8, 8, False)]
+    df = spark.createDataFrame([r + p for r, p in zip([(1, 1, None, None, None), (2, 2, None, None, None), (3, 1, 7, None, None), (4, 3, 5, None, None)], place)], schema)
     best = lambda rows: spark.createDataFrame(rows, "cluster_id long, person_id long, score double")
     once = faces.apply_suggestions(df, best([(1, 4, 0.65), (2, 5, 0.95)]), faces.Tiers())
-    assert {tuple(r) for r in once.collect()} == {(1, 1, None, 4, 0.65), (2, 2, 5, None, None), (3, 1, 7, None, None)}
+    # Face 2 is named at once, and ignored: face 4 of that person in its photo is larger.
+    assert {(*r[:5], r.ignored) for r in once.collect()} == {(1, 1, None, 4, 0.65, False), (2, 2, 5, None, None, True), (3, 1, 7, None, None, False), (4, 3, 5, None, None, False)}
     assert {tuple(r) for r in faces.apply_suggestions(once, best([(1, 9, 0.9)]), faces.Tiers()).collect()} == {tuple(r) for r in once.collect()}
 
 
