@@ -2,14 +2,19 @@
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches per
 kind that pass a check of their digits. They seed the bootstrap: the two words
-before a span are a lexical pattern. Every pattern with at least ``min_support``
-distinct seed values is scored on the graph of patterns and the instances that
-fill their slot: an instance's score is 1 for a seed, else the mean of its
-patterns' scores by count; a pattern's score is the sum of its instances' scores
-over all occurrences of its two words, whatever follows. After ``rounds``
-rounds, words with a digit or @ that fill the slot of a pattern with a score of
-``min_score`` or more, and touch no base span, are spans of the pattern's most
-frequent kind.
+before a span are a lexical pattern, and what fills its slot (a base span, or a
+word with a digit or @ that touches none) is an instance. Each round scores the
+graph of patterns and instances from both sides:
+
+* a pattern's score is the sum of the scores of its known instances over all
+  occurrences of its two words, whatever follows; it is accepted with
+  ``min_support`` distinct known values and a score of ``min_score``;
+* a seed scores 1; any other instance scores the mean, over all its occurrences
+  in whatever context, of the scores of accepted patterns; it is known from
+  ``min_score`` on, and then induces further patterns in the next round.
+
+After ``rounds`` rounds, the words in the slots of accepted patterns are spans
+of the kind that most of the pattern's score comes from.
 
 Regular expressions carry possessive quantifiers and look-behinds where these
 give the same matches and keep long runs linear. Positions are code points.
@@ -38,7 +43,9 @@ _FIND = {
     "word": rf"(?<!{_WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+#: Code points before a match that are looked at first; where they do not hold two words, all before are.
 CONTEXT_CHARS = 200
+#: Places of the table that tells word pairs that may be patterns from others.
 MARKS = 1 << 18
 
 
@@ -140,45 +147,60 @@ def _free_words(spans: DataFrame) -> DataFrame:
     return marked.where((F.col("kind") == 4) & (F.col("match") != "") & (F.coalesce("__b", F.lit(0)) <= F.col("start")) & (F.coalesce("__a", F.col("end")) >= F.col("end"))).drop("__b", "__a")
 
 
-def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """((l1, l2, kind, score) of every supported pattern, free candidate words), both written."""
-    seeds = spans.where("kind between 0 and 3 and l2 <> ''")
-    words = scratch.written(_free_words(spans), "candidates", gathered=True)
-    by_kind = seeds.groupBy("l1", "l2", "kind").agg(F.count("*").alias("n"), F.collect_set(F.pmod(F.xxhash64("match"), F.lit(1024))).alias("values"))  # 1024 at most
-    support = by_kind.groupBy("l1", "l2").agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("values")))).alias("support"))
-    named = scratch.written(support.where(F.col("support") >= min_support).select("l1", "l2", "kind", F.xxhash64("l1", "l2").alias("p")), "patterns", gathered=True)
-    if named.isEmpty():
-        return named.withColumn("score", F.lit(0.0)), words
-    # How often the two words of a pattern occur at all, with a word after them.
+def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, total): how often the two words of each pattern p of wanted occur with a word after them."""
     w = docs.select(words_of(ascii_lower(F.col("text"))).alias("w")).where(F.size("w") > 2)
     slots = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).alias("p"))
     # A table of hashes leaves out nearly all pairs of words that are no pattern; the rest are summed before they
     # meet the patterns, so the join has a row a pair of words, however often a pattern occurs.
     marks = bytearray(MARKS)
-    for r in named.select(F.pmod("p", F.lit(MARKS)).alias("mark")).distinct().collect():  # MARKS at most
-        marks[r.mark] = 1
-    marked = F.substring(F.lit(bytes(marks)), F.pmod("p", F.lit(MARKS)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-    totals = slots.where(marked).groupBy("p").agg(F.count("*").alias("total")).join(named.select("p"), "p")
-    named = scratch.written(named.join(totals, "p", "left").select("p", "l1", "l2", "kind", F.greatest(F.coalesce("total", F.lit(1)), F.lit(1)).alias("total")), "patterns", gathered=True)
-    filled = seeds.select("l1", "l2", "match", F.lit(1.0).alias("seed")).unionAll(words.where("l2 <> ''").select("l1", "l2", "match", F.lit(0.0).alias("seed")))
-    counted = filled.groupBy("l1", "l2", "match").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    graph = scratch.written(counted.join(named.select("l1", "l2", "p"), ["l1", "l2"]).select("p", F.xxhash64("match").alias("x"), "n", "seed"), "graph", gathered=True)
-    instance = scratch.written(graph.groupBy("x").agg(F.max("seed").alias("score")), "instances", gathered=True)
+    mark = F.pmod("p", F.lit(MARKS))
+    bits = wanted.groupBy(F.shiftright(mark, 6).alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(63).cast("int"))).alias("bits"))
+    for r in bits.collect():  # MARKS / 64 rows at most
+        for i in range(64):
+            if r.bits >> i & 1:
+                marks[r.place * 64 + i] = 1
+    marked = F.substring(F.lit(bytes(marks)), mark.cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    return slots.where(marked).groupBy("p").agg(F.count("*").alias("total")).join(wanted, "p")
+
+
+def _patterns(docs: DataFrame, spans: DataFrame, min_support: int, min_score: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """((l1, l2, kind) of every accepted pattern, free candidate words), both written."""
+    words = scratch.written(_free_words(spans), "candidates", gathered=True)
+    seeds = spans.where("kind between 0 and 3").select("l1", "l2", "match", "kind")
+    filled = seeds.unionAll(words.select("l1", "l2", "match", F.lit(None).cast("int").alias("kind"))).where("l2 <> ''")
+    # An instance is a value; a value that is a base span of two kinds anywhere is one of the lower.
+    counted = filled.groupBy("l1", "l2", "match").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    counted = scratch.written(counted.select("l1", "l2", F.xxhash64("l1", "l2").alias("p"), F.xxhash64("match").alias("x"), "n", "kind"), "graph", gathered=True)
+    # Only patterns of enough distinct values, known or not, can ever have the support.
+    able = counted.groupBy("p", "l1", "l2").agg(F.count("*").alias("values")).where(F.col("values") >= min_support).select("p", "l1", "l2")
+    able = scratch.written(able, "patterns", gathered=True)
+    if able.isEmpty():
+        return able.select("l1", "l2", F.lit(None).cast("int").alias("kind")), words
+    named = able.join(_occurrences(docs, able.select("p").distinct()), "p", "left").select("p", "l1", "l2", F.greatest(F.coalesce("total", F.lit(1)), F.lit(1)).alias("total"))
+    named = scratch.written(named, "patterns", gathered=True)
+    everywhere = counted.groupBy("x").agg(F.sum("n").alias("everywhere"), F.min("kind").alias("seed"))
+    edges = scratch.written(counted.join(named.select("p"), "p", "left_semi").select("p", "x", "n").join(everywhere, "x"), "edges", gathered=True)
+    known = edges.select("p", "x", "n", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).alias("score"))
     for step in range(rounds):
-        scored = graph.join(instance, "x").groupBy("p").agg(F.sum(F.col("n") * F.col("score")).alias("sum"))
-        pattern = scratch.written(named.join(scored, "p", "left").select("p", "l1", "l2", "kind", F.least(F.lit(1.0), F.coalesce(F.col("sum") / F.col("total"), F.lit(0.0))).alias("score")), "scores", gathered=True)
+        votes = known.where(F.col("score") >= min_score).groupBy("p", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("sum"), F.count("*").alias("support"))
+        summed = votes.groupBy("p").agg(F.max_by("kind", F.struct("sum", -F.col("kind"))).alias("kind"), F.sum("sum").alias("sum"), F.sum("support").alias("support"))
+        scored = summed.where(F.col("support") >= min_support).join(named, "p").select("p", "l1", "l2", "kind", F.least(F.lit(1.0), F.col("sum") / F.col("total")).alias("score"))
+        accepted = scored.where(F.col("score") >= min_score)
         if step + 1 < rounds:
-            mean = F.sum(F.col("n") * F.col("score")) / F.sum("n")
-            instance = scratch.written(graph.join(pattern.select("p", "score"), "p").groupBy("x").agg(F.when(F.max("seed") == 1, 1.0).otherwise(mean).alias("score")), "instances", gathered=True)
-    return pattern, words
+            met = edges.join(accepted.select("p", F.col("kind").alias("as_kind"), F.col("score").alias("by")), "p")
+            instances = met.groupBy("x").agg((F.sum(F.col("n") * F.col("by")) / F.max("everywhere")).alias("mean"), F.max_by("as_kind", F.struct("by", -F.col("as_kind"))).alias("as_kind"))
+            seeded = F.col("seed").isNotNull()
+            known = edges.join(instances, "x", "left").select("p", "x", "n", F.when(seeded, F.col("seed")).otherwise(F.col("as_kind")).alias("kind"), F.when(seeded, 1.0).otherwise(F.col("mean")).alias("score"))
+    return scratch.written(accepted.select("l1", "l2", "kind"), "accepted", gathered=True), words
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_support: int = 5, min_score: float = 0.5, rounds: int = 3) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base, spans): base and spans are sorted arrays of (start, kind number, end)."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     spans = _spans(src)
-    patterns, words = _patterns(src, spans, min_support, rounds)
-    sure = patterns.where(F.col("score") >= min_score).select("l1", "l2", F.col("kind").alias("as_kind"))
+    patterns, words = _patterns(src, spans, min_support, min_score, rounds)
+    sure = patterns.select("l1", "l2", F.col("kind").alias("as_kind"))
     more = words.where("l2 <> ''").join(sure, ["l1", "l2"]).select("id", "th", F.lit(4).alias("kind"), "start", "end", "as_kind", "copies")
     rows = spans.where("kind < 4").select("id", "th", "kind", "start", "end", F.col("kind").alias("as_kind"), "copies").unionAll(more)
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("as_kind").alias("kind"), F.col("end").cast("long").alias("end"))
