@@ -22,7 +22,7 @@ SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
 LOW = np.uint64(1 << 31)
 BLOCK_IDS = 1 << 18
-LANES = 1024
+LANES = 2048
 MAGIC = b"TRS1"
 _HEAD, _POINT = struct.Struct("<4sI"), struct.Struct("<QIII")
 

@@ -7,9 +7,10 @@ documents, number of ids before it) and its payload (see rans.py); and
 makes the files whole when tasks are repeated. read() gives a row per document,
 documents() the ids themselves.
 
-A document's ids are those of its whole text and the end id. Equal pre-tokens
-are encoded once: a text is split by the tokenizer's own pattern, unseen pieces
-are encoded in bulk, and a bounded table keeps their ids.
+A document's ids are those of its whole text and the end id. Equal words are
+encoded once: texts are cut where the tokenizer's own pattern parts pieces,
+unseen words are encoded in bulk, and a bounded table keeps their ids; the ids
+of a batch of texts are then gathered from it as arrays.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are
 documents of their own, in order of their text's hash; a null id comes first.
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,16 +37,61 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 KEPT_PIECES = 600_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Controls that are white space to one regular expression library and not to another.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_CHARS_AT_ONCE = 2_000_000
+_CONTROL_SPACE = regex.compile("[\x1c-\x1f]")
+#: White space but single spaces and line ends.
+ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BYTES_AT_ONCE = 8_000_000
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
+class Units:
+    """Ids of distinct strings, one behind the other, in a bounded table."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int, dtype: np.dtype):
+        self.encode, self.kept, self.dtype = encode, kept, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.sizes, self.starts, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype), 0
+
+    def _learn(self, strings: list[str]) -> None:
+        ids, sizes = self.encode(strings)
+        n, at = len(self.places), len(self.places) + len(strings)
+        while at > len(self.sizes):
+            self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.sizes[n:at], self.starts[n:at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.places.update(zip(strings, range(n, at)))
+
+    def of(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings, number of ids of each)."""
+        distinct = coded.dictionary.to_pylist()
+        missing = [x for x in distinct if x not in self.places]
+        if len(self.places) + len(missing) > self.kept:  # the table is emptied: all that is wanted is learnt anew
+            self.clear()
+            missing = distinct
+        self._learn(missing)
+        row = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.sizes[row]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.starts[row] - ends + sizes, sizes)
+        take += np.arange(len(take))
+        return self.ids[take], sizes
+
+
 class Encoder:
-    """Ids of texts as packed little-endian bytes, with a bounded table of pieces."""
+    """Ids of texts as packed little-endian bytes, with bounded tables of units and pieces.
+
+    A text whose only white space is single spaces and line ends is cut at them:
+    there the tokenizer's pattern always parts pieces. Its units are words, each
+    with the space before it, or the line end. Other texts are cut by the pattern.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
-        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,66 +100,87 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(SPLIT).findall
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.pieces: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-
-    def _lines_ids(self, lines: list[str]) -> list[bytes]:
-        """Ids of strings without line ends that start or end in no more than a space, encoded as the lines of one text, which is cut at its line ends."""
-        out, size = [], self.dtype.itemsize
+        self.line_end = self._ids("\n")
+        if len(self.line_end) != 1:
+            raise ValueError("a line end is not one id of the vocabulary")
+        self.units = Units(self._units, kept, self.dtype)
+        self.pieces = Units(self._pieces, kept // 4, self.dtype)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of strings without line ends, encoded as the lines of one text, which is cut at its line ends."""
+        ids, sizes = [], []
         for at in range(0, len(lines), 20_000):
             part = lines[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.line_end)
+            own = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = np.flatnonzero(own == self.line_end[0])
             if len(cuts) != len(part) - 1:
-                raise ValueError("the pieces of a text are not the tokenizer's own")
-            data = ids.tobytes()
-            starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
-            out += map(data.__getitem__, map(slice, starts, ends))
-        return out
-
-    def _know(self, wanted: set[str], lead: str, known: dict[str, bytes]) -> None:
-        """Ids of strings, each with lead before it."""
-        missing = wanted.difference(known)
-        if len(known) + len(missing) > self.kept:  # the table is emptied: all that is wanted is learnt anew
-            known.clear()
-            missing = wanted
-        blank = [w for w in missing if w.isspace()]
-        known.update((w, self._plain(w)) for w in blank)
-        words = list(missing.difference(blank))
-        known.update(zip(words, self._lines_ids([lead + w for w in words])))
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """Units by line, if single spaces and line ends are a text's only white space; there the pattern always parts pieces."""
-        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        return lines if sum(map(len, lines)) == len(text.split()) else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_ODD_SPACE.search(t) is not None or any(s in t for s in self.special) for t in texts]
-        lines = [None if p else self._lines(t) for p, t in zip(plain, texts)]
-        found = [None if p or x else self.find(t) for p, x, t in zip(plain, lines, texts)]
-        firsts, others = set(), set()
-        for text in lines:
-            for line in text or ():
-                firsts.add(line[0])
-                others.update(line[1:])
-        self._know(firsts, "", self.firsts)
-        self._know(others, " ", self.others)
-        self._know({"\n"}.union(*(w for w in found if w)), "", self.pieces)
-        first, other, piece, end = self.firsts.__getitem__, self.others.__getitem__, self.pieces.__getitem__, self.pieces["\n"]
-        out = []
-        for text, x, w in zip(texts, lines, found):
-            if x is not None:
-                out.append(end.join([first(line[0]) + b"".join(map(other, line[1:])) for line in x]))
-            else:
-                out.append(self._plain(text) if w is None else b"".join(map(piece, w)))
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+                raise ValueError("the units of a text are not the tokenizer's own")
+            ids.append(np.delete(own, cuts))
+            sizes.append(np.diff(np.r_[-1, cuts, len(own)]) - 1)
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A unit that begins with a line end stands for it and the word after it, any other for a space and a word."""
+        ids, sizes = self._lines([u[1:] if u[0] == "\n" else " " + u for u in units])
+        first = np.fromiter((u[0] == "\n" for u in units), bool, len(units))
+        begins = (np.cumsum(sizes) - sizes)[first]
+        return np.insert(ids, begins, self.line_end[0]), sizes + first
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((not p.isspace() for p in pieces), bool, len(pieces))
+        ids, sizes = self._lines([p for p, x in zip(pieces, plain) if x])
+        own = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        parts = [next(own) if x else self._ids(p) for p, x in zip(pieces, plain)]
+        return np.concatenate([np.zeros(0, self.dtype), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id behind it, number of ids of each text with its end)."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Each text begins with a line end of its own, whose id gives way to the end id of the text before.
+        text = pa.scalar("", pa.large_string())
+        lines = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts, text), "\n", " \n")
+        words = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
+        coded = words.flatten().dictionary_encode()
+        edges = np.asarray(words.offsets)
+        edges = edges - edges[0]
+        simple = self._simple(coded, edges)
+        if not simple.all():
+            return self._mixed(texts, simple, end)
+        ids, sizes = self.units.of(coded)
+        ends = np.r_[0, np.cumsum(sizes)][edges]
+        ids = np.r_[ids[1:], self.dtype.type(end)]
+        ids[ends[1:-1] - 1] = end
+        return ids, np.diff(ends)
+
+    def _simple(self, coded: pa.DictionaryArray, edges: np.ndarray) -> np.ndarray:
+        """True for each text that has no white space but single spaces and line ends, and no special piece; units tell, since a space too many makes an empty one."""
+        units = coded.dictionary
+        odd = pc.or_(pc.match_substring_regex(units, ODD_SPACE), pc.or_(pc.equal(units, ""), pc.equal(units, "\n")))
+        for part in self.special:
+            odd = pc.or_(odd, pc.match_substring(units, part))
+        if not pc.any(odd).as_py():
+            return np.ones(len(edges) - 1, bool)
+        found = np.asarray(odd.to_numpy(zero_copy_only=False), dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.diff(np.r_[0, np.cumsum(found)][edges]) == 0
+
+    def _mixed(self, texts: pa.Array, simple: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = self.encode(texts.filter(pa.array(simple)), end)
+        own = iter(np.split(ids, np.cumsum(n)[:-1]))
+        rest = self._odd(texts.filter(pa.array(~simple)).to_pylist(), end)
+        out = [next(own) if x else next(rest) for x in simple]
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _odd(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
+        """Ids of texts with other white space: by the pieces of the pattern, or as a whole where two kinds of white space would part."""
+        for text in texts:
+            whole = _CONTROL_SPACE.search(text) is not None or any(s in text for s in self.special)
+            own = self._ids(text) if whole else self.pieces.of(pa.array(self.find(text), pa.large_string()).dictionary_encode())[0]
+            yield np.r_[own, self.dtype.type(end)]
 
 
 def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
@@ -121,6 +189,25 @@ def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
     return _encoders[path, kept]
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The two columns of the batches in portions of about _BYTES_AT_ONCE of text; a longer text is a portion of its own."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, before + _BYTES_AT_ONCE - size, side="right")))
+            held.append(batch.slice(at, to - at))
+            size += int(sizes[to - 1]) - before
+            if to < batch.num_rows or size >= _BYTES_AT_ONCE:
+                yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+                held, size = [], 0
+            at = to
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int, kept: int = KEPT_PIECES) -> DataFrame:
     """(shard, seq, id, n, before, ids, counts) in id order; counts is set in a shard's last row."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -130,33 +217,24 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, seq, before = encoder(tokenizer, kept), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
         counts = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
         counts_type = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
 
-        def packed(ids: pa.Array, rows: list[bytes], tail=None) -> pa.RecordBatch:
+        def packed(doc_ids: pa.Array, ids: np.ndarray, n: np.ndarray, tail=None) -> pa.RecordBatch:
             nonlocal seq, before
-            n = np.array([len(r) // enc.dtype.itemsize for r in rows], dtype=np.int64)
-            starts = before + np.cumsum(n) - n
-            at = np.arange(seq, seq + len(rows))
-            seq, before = seq + len(rows), before + int(n.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(at), ids, pa.array(n), pa.array(starts), pa.array(rows, pa.binary()), pa.array([None] * (len(rows) - 1) + [tail], counts_type)], names=["shard", "seq", "id", "n", "before", "ids", "counts"])
-
-        held = None  # the last row waits, to take the counts
-        for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to] or "") <= _CHARS_AT_ONCE):
-                    chars, to = chars + len(texts[to] or ""), to + 1
-                rows = [r + end for r in enc.encode([t or "" for t in texts[at:to]])]
-                counts += np.bincount(np.frombuffer(b"".join(rows), dtype=enc.dtype), minlength=len(counts))
-                if held is not None:
-                    yield packed(*held)
-                if to - at > 1:
-                    yield packed(batch.column(0).slice(at, to - at - 1), rows[:-1])
-                held = (batch.column(0).slice(to - 1, 1), rows[-1:])
-                at = to
+            starts, edges = before + np.cumsum(n) - n, np.r_[0, np.cumsum(n)] * enc.dtype.itemsize
+            at = np.arange(seq, seq + len(n))
+            seq, before = seq + len(n), before + int(n.sum())
+            rows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(at), doc_ids, pa.array(n), pa.array(starts), rows, pa.array([None] * (len(n) - 1) + [tail], counts_type)], names=["shard", "seq", "id", "n", "before", "ids", "counts"])
+
+        held = None  # the last rows wait, to take the counts
+        for doc_ids, texts in _portions(batches):
+            ids, n = enc.encode(texts, end_id)
+            counts += np.bincount(ids, minlength=len(counts))
+            if held is not None:
+                yield packed(*held)
+            held = (doc_ids, ids, n)
         if held is not None:
             seen = np.flatnonzero(counts)
             yield packed(*held, [{"id": int(i), "n": int(counts[i])} for i in seen])
