@@ -2,24 +2,26 @@
 
 The words of a source's documents, in a fixed order, are packed into blocks of
 ``block`` = 64 words. The mix is a row of output shards of ``shard_slots``
-block slots. Each shard draws its source counts from a multinomial: the whole
-part of every expected count is set, and the slots left over are drawn with the
-fractional parts as weights, so that totals stay near their targets. The k-th
-slot of a source takes block ``perm(k mod n)`` of its n blocks, where perm is a
-pseudorandom permutation (swap-or-not rounds) of its own for each pass over the
-source, and slots join blocks on (source, block). A slot beyond ``max_times``
-passes stays empty, so nothing is taken more often.
+block slots. Which source fills which slot is drawn for all shards at once: the
+slots of all sources, counted to meet the targets, are dealt out by one
+pseudorandom permutation, so the counts of a shard are multinomial draws under
+the condition that all shards together meet the targets (shards drawn one by
+one would miss them by 5 % or so on small inputs). The k-th slot of a source
+takes block ``perm(k mod n)`` of its n blocks, where perm is a permutation
+(swap-or-not rounds) of its own for each pass over the source, and slots join
+blocks on (source, block). No source has more than ``max_times`` passes.
 
 Targets: sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ...
 and share all words; a target stops at max_times the source's words, and the
 excess is shared by weight among the others until none is above.
 
 What the driver holds is one row per source. Offsets inside a source are summed
-in BUCKETS parts by hash of the id, so a hot source is spread.
+in parts of BUCKET_ROWS documents by hash of the id, so a hot source is spread.
 
 Defined cases: null texts have no words and take none; a null source is a
 source of its own; repeated rows are documents of their own; no words at all
-gives targets of zero. Runs agree, since draws come from hashes of a seed.
+gives targets of zero; other columns are not read, or pass through, whatever
+their names. Runs agree, since draws come from hashes of a seed.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shutterlake import scratch
 from shutterlake.llm.text import SPACE_CLASS, words_of
 
-BUCKETS = 4096
+#: Documents of a source that one part of its offsets has, about.
+BUCKET_ROWS = 20_000
+#: Slots that one row of the plan stands for.
+SLOT_ROWS = 10_000
 ROUNDS = 8
 WEIGHTS = (1, 2, 3)
 
@@ -65,20 +70,17 @@ def _sized(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     return scratch.written(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"), F.size(words_of(body)).cast("long").alias("size"), F.xxhash64(body).alias("hash")), "sizes")
 
 
-def _sources(sized: DataFrame, plan: MixPlan) -> tuple[list[dict], DataFrame]:
-    rows = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()]  # a row per source
+def _sources(sized: DataFrame, plan: MixPlan) -> DataFrame:
+    """A row per source: (no, source, source_size, target, n blocks, slots, first slot, parts of its offsets)."""
+    rows = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()]  # a row per source
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    found = []
-    for no, ((name, words), target) in enumerate(zip(rows, targets([w for _, w in rows], plan.max_times), strict=True)):
+    found, first = [], 0
+    for no, ((name, words, docs), target) in enumerate(zip(rows, targets([w for _, w, _ in rows], plan.max_times), strict=True)):
         n = -(-words // plan.block)
-        found.append({"no": no, "source": name, "source_size": words, "target": target, "n": n, "slots": target * n / words if words else 0.0})
-    frame = sized.sparkSession.createDataFrame([(s["no"], s["source"], s["source_size"], s["target"], s["n"]) for s in found], f"no int, source {sized.schema['source'].dataType.simpleString()}, source_size long, target double, n long")
-    return found, frame
-
-
-def _unit(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash of the parts."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0**-53)
+        slots = min(plan.max_times * n, round(target * n / words)) if words else 0
+        found.append((no, name, words, target, n, slots, first, max(1, docs // BUCKET_ROWS)))
+        first += slots
+    return sized.sparkSession.createDataFrame(found, f"no int, source {sized.schema['source'].dataType.simpleString()}, source_size long, target double, n long, slots long, first long, parts long")
 
 
 def _permuted(k: Column, n: Column, key: list[Column]) -> Column:
@@ -92,44 +94,30 @@ def _permuted(k: Column, n: Column, key: list[Column]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k, step)
 
 
-def _slots(spark, sources: list[dict], plan: MixPlan) -> DataFrame:
-    """(no, block, turn): the block each slot takes; turn is the pass over the source."""
-    live = [s for s in sources if s["n"]]
-    weight = sum(s["slots"] for s in live)
-    total = round(weight)
-    if not total:
-        return spark.createDataFrame([], "no int, block long, turn long")
-    shards = -(-total // plan.shard_slots)
-    last = total - (shards - 1) * plan.shard_slots
-
-    def expected(size: int) -> tuple[list[int], list[float], int]:
-        share = [size * s["slots"] / weight for s in live]
-        whole = [int(x) for x in share]
-        run, ends = 0.0, []
-        for x, w in zip(share, whole, strict=True):
-            run += x - w
-            ends.append(run)
-        return whole, [e / run if run > 0 else 1.0 for e in ends], max(0, size - sum(whole))
-
-    def counts(whole: list[int], ends: list[float], rest: int) -> Column:
-        marks = F.array(*(F.lit(e) for e in ends[:-1])).cast("array<double>")
-        draws = F.transform(F.sequence(F.lit(1), F.lit(rest)), lambda r: F.size(F.filter(marks, lambda e: e <= _unit(F.lit(plan.seed), F.col("shard"), r)))) if rest else F.array().cast("array<int>")
-        return F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s["no"]).alias("no"), F.lit(s["n"]).cast("long").alias("n"), F.lit(w).alias("whole")) for i, (s, w) in enumerate(zip(live, whole, strict=True)))), lambda s: F.struct(s["no"].alias("no"), s["n"].alias("n"), (s["whole"] + F.size(F.filter(draws, lambda d: d == s["i"]))).cast("long").alias("count")))
-
-    full, final = expected(plan.shard_slots), expected(last)
-    drawn = spark.range(shards).withColumnRenamed("id", "shard").select("shard", F.explode(F.when(F.col("shard") < shards - 1, counts(*full)).otherwise(counts(*final))).alias("c")).select("shard", "c.*")
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = drawn.select("no", "n", before.alias("first"), "count").where("count > 0").repartition(max(1, total // 200_000), "no", "first")
-    each = placed.select("no", "n", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("k")).where(F.col("k") < plan.max_times * F.col("n"))
-    turn = F.floor(F.col("k") / F.col("n"))
-    each = each.select("no", "n", F.pmod("k", "n").alias("k"), turn.alias("turn"))
-    return each.select("no", _permuted(F.col("k"), F.col("n"), [F.lit(plan.seed), F.col("no"), F.col("turn")]).alias("block"), "turn")
+def _slots(sources: DataFrame, plan: MixPlan) -> DataFrame:
+    """(no, block, turn, slot): the block that fills each slot of the mix; turn is the pass over the source, slot div shard_slots the shard."""
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("total"))
+    live = sources.where("slots > 0").select("no", "n", "slots", "first").join(F.broadcast(total))  # total: one row
+    starts = live.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_ROWS).cast("long"))).alias("start"))
+    spread = starts.repartition(F.col("no"), F.col("start"))
+    each = spread.select("no", "n", "first", "total", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + SLOT_ROWS, F.col("slots")) - 1)).alias("i"))
+    turn = F.floor(F.col("i") / F.col("n"))
+    placed = each.select("no", "n", F.pmod("i", "n").alias("k"), turn.alias("turn"), (F.col("first") + F.col("i")).alias("at"), "total")
+    block = _permuted(F.col("k"), F.col("n"), [F.lit(plan.seed), F.col("no"), F.col("turn")])
+    return placed.select("no", block.alias("block"), "turn", _permuted(F.col("at"), F.col("total"), [F.lit(plan.seed), F.lit(-1)]).alias("slot"))
+
+
+def shard_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:
+    """(shard, source, slots): how many slots each source got in each output shard."""
+    sources = _sources(_sized(docs, id_col, text, source), plan)
+    dealt = _slots(sources, plan).groupBy(F.floor(F.col("slot") / plan.shard_slots).alias("shard"), "no").agg(F.count("*").alias("slots"))
+    return dealt.join(F.broadcast(sources.select("no", F.col("source").alias(source))), "no").select("shard", source, "slots")
 
 
 def _pieces(sized: DataFrame, frame: DataFrame, plan: MixPlan) -> DataFrame:
     """A row per document and block it lies in: row key (no, bucket, place), id, hash, size, block, lo and n in words of the document."""
-    numbered = sized.join(F.broadcast(frame.select("no", F.col("source").alias("__s"))), F.col("source").eqNullSafe(F.col("__s")))
-    numbered = numbered.select("no", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("bucket"), "id", "size", "hash")
+    numbered = sized.join(F.broadcast(frame.select("no", "parts", F.col("source").alias("of"))), F.col("source").eqNullSafe(F.col("of")))
+    numbered = numbered.select("no", F.pmod(F.xxhash64("id", "hash"), F.col("parts")).alias("bucket"), "id", "size", "hash")
     sums = numbered.groupBy("no", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("no").orderBy("bucket")) - F.col("words")
     offsets = sums.select("no", "bucket", before.alias("offset"))
@@ -146,8 +134,8 @@ def _pieces(sized: DataFrame, frame: DataFrame, plan: MixPlan) -> DataFrame:
 def taken(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", plan: MixPlan = MixPlan()) -> DataFrame:
     """(id, size, source_size, target, taken) of every row of docs."""
     sized = _sized(docs, id_col, text, source)
-    sources, frame = _sources(sized, plan)
-    times = _slots(docs.sparkSession, sources, plan).groupBy("no", "block").agg(F.count("*").alias("times"))
+    frame = _sources(sized, plan)
+    times = _slots(frame, plan).groupBy("no", "block").agg(F.count("*").alias("times"))
     joined = _pieces(sized, frame, plan).join(times.hint("merge"), ["no", "block"], "left")
     per_row = joined.groupBy("no", "bucket", "place", "id", "size").agg(F.sum(F.coalesce(F.col("n") * F.col("times"), F.lit(0))).alias("taken"))
     return per_row.join(F.broadcast(frame.select("no", "source_size", "target")), "no").select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -161,15 +149,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     what is taken of all of them.
     """
     sized = _sized(docs, id_col, text, source)
-    sources, frame = _sources(sized, plan)
-    slots = _slots(docs.sparkSession, sources, plan)
-    got = _pieces(sized, frame, plan).join(slots.hint("merge"), ["no", "block"]).join(F.broadcast(frame.select("no", F.col("source").alias("__source"))), "no")
-    parts = got.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "__source").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "lo", "n"))).alias("__parts"))  # 3 times the document's blocks
-    body = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`")))
-    on = body[id_col].eqNullSafe(parts["__id"]) & (body["__h"] == parts["__hash"]) & body[source].eqNullSafe(parts["__source"])
-    found = body.join(parts, on).dropDuplicates([id_col, source, "__h"])
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit("[^" + SPACE_CLASS[1:] + "+" + SPACE_CLASS + "*"), F.lit(0))
-    with_words = found.withColumn("__w", words)
-    piece = F.transform("__parts", lambda p: F.concat(F.array_join(F.slice(F.col("__w"), (p["lo"] + 1).cast("int"), p["n"].cast("int")), ""), F.when(p["lo"] + p["n"] == F.size("__w"), F.lit("\n")).otherwise(F.lit(""))))
-    made = with_words.withColumn("__mix", F.rtrim(F.array_join(piece, ""), F.lit("\n")))
-    return made.select(*(F.col("__mix").alias(c) if c == text else F.length("__mix").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    frame = _sources(sized, plan)
+    got = _pieces(sized, frame, plan).join(_slots(frame, plan).select("no", "block", "turn").hint("merge"), ["no", "block"]).join(F.broadcast(frame.select("no", F.col("source").alias("of"))), "no")
+    parts = got.groupBy("id", "hash", "of").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "lo", "n"))).alias("parts"))  # 3 times the document's blocks
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("own"), F.col(f"`{source}`").alias("own_source"), F.col(f"`{text}`").alias("body"), F.xxhash64(F.col(f"`{text}`")).alias("own_hash"))
+    on = body["own"].eqNullSafe(parts["id"]) & (body["own_hash"] == parts["hash"]) & body["own_source"].eqNullSafe(parts["of"])
+    found = body.join(parts, on).dropDuplicates(["own", "own_source", "own_hash"])
+    words = F.regexp_extract_all("body", F.lit("[^" + SPACE_CLASS[1:] + "+" + SPACE_CLASS + "*"), F.lit(0))
+    with_words = found.withColumn("w", words)
+    piece = F.transform("parts", lambda p: F.concat(F.array_join(F.slice(F.col("w"), (p["lo"] + 1).cast("int"), p["n"].cast("int")), ""), F.when(p["lo"] + p["n"] == F.size("w"), F.lit("\n")).otherwise(F.lit(""))))
+    made = with_words.withColumn("mix", F.rtrim(F.array_join(piece, ""), F.lit("\n")))
+    return made.select(*(F.col("mix").alias(c) if c == text else F.length("mix").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
