@@ -49,7 +49,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(columns of docs but text, text_hash, n_words, spans, item_ids): a row per row of docs.
+    """(columns of docs but text, text_hash, n_words, spans, item_ids): a row per row of docs; own columns of the last four names are left out.
 
     spans: sorted (start, length) in words of each window occurrence; item_ids:
     sorted ids of the items with occurring windows.
@@ -63,10 +63,13 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         for n in lengths:
             part = grams.where(F.col("n") == n).select(F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(n))).alias("h"), "gram", "items")
             gram_table = part if gram_table is None else gram_table.unionAll(part)
-    keys = [c for c in docs.columns if c != text]
-    df = docs.select(*(F.col(f"`{c}`") for c in keys), F.xxhash64(F.col(f"`{text}`")).alias("__t"), normal_words(F.col(f"`{text}`")).alias("__w"))
+    # The columns of docs go along in one, so that their names meet none of those below.
+    passing = [c for c in docs.columns if c != text]
+    keys = ["__row"]
+    unwrapped = [F.col("__row").getField(c).alias(c) for c in passing if c not in _OUT]
+    df = docs.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in passing)).alias("__row"), F.xxhash64(F.col(f"`{text}`")).alias("__t"), normal_words(F.col(f"`{text}`")).alias("__w"))
     if gram_table is None:
-        return df.select(*(F.col(f"`{c}`") for c in keys), F.col("__t").alias("text_hash"), F.size("__w").cast("long").alias("n_words"), F.array().cast("array<struct<at:int,n:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
+        return df.select(*unwrapped, F.col("__t").alias("text_hash"), F.size("__w").cast("long").alias("n_words"), F.array().cast("array<struct<at:int,n:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
     looked = [_placed(_hashes(F.col("__w"), n), n) for n in lengths]
     first = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("at"), F.lit(0).alias("n")))  # the document's own row
     empty = F.array().cast("array<struct<h:bigint,at:int,n:int>>")
@@ -86,7 +89,10 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"),
     )
     each = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
-    return per_doc.select(*(F.col(f"`{c}`") for c in keys), F.col("__t").alias("text_hash"), "n_words", "spans", "item_ids", each.alias("__one")).drop("__one")
+    return per_doc.select("*", each.alias("__one")).select(*unwrapped, F.col("__t").alias("text_hash"), "n_words", "spans", "item_ids")
+
+
+_OUT = ("text_hash", "n_words", "spans", "item_ids")
 
 
 def hit_places(spans: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shutterlake.llm.quality import BOILERPLATE, NAV_SEPARATORS, judged
+from shutterlake.llm.quality import BOILERPLATE, LINKS, NAV_SEPARATORS, judged
 from shutterlake.llm.text import table
 
 
@@ -20,6 +20,8 @@ def _count(col: str, part: str) -> str:
 _CHARS = r"length(regexp_replace({0}, '[\x20\x09-\x0D]+', '', 'g'))"
 _SYMBOLS = "(length({0}) - length(translate({0}, '#*$%&|<>', '')))"
 
+_LETTERS = "length(regexp_replace(line, '[^A-Za-z]', '', 'g'))"
+
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -30,6 +32,10 @@ l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lj AS (SELECT r, line, {_CHARS.format('line')} AS chars,
   ({_SYMBOLS.format('line')} * 100 > {_CHARS.format('line')} * 10) OR {_count('line', '!!')} > 2
   OR {' + '.join(_count('line', s) for s in NAV_SEPARATORS)} > 2
+  OR {' + '.join(_count('line', s) for s in LINKS)} > 2
+  OR suffix(rtrim(line, ' '), '...') OR suffix(rtrim(line, ' '), '…')
+  OR ({_CHARS.format('line')} > 300 AND NOT regexp_matches(line, '[.,;:!?…。！？]'))
+  OR (regexp_matches(line, '[A-Z][^a-z][^a-z][^a-z]') AND {_LETTERS} >= 20 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) * 100 > {_LETTERS} * 70)
   OR regexp_matches(lower(line), '{'|'.join(BOILERPLATE)}') AS bad FROM l),
 ls AS (SELECT r, count(*) FILTER (chars > 0) - count(DISTINCT line) FILTER (chars > 0) AS dups, coalesce(sum(chars) FILTER (bad), 0) AS lost FROM lj GROUP BY r),
 b AS (SELECT d.doc_id, len(w.w) AS n_words, {_CHARS.format('d.text')} AS word_chars, {_SYMBOLS.format('d.text')} AS n_symbols,

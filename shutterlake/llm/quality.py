@@ -1,9 +1,10 @@
 """Quality rules: line-first cleaning, native columns only.
 
-Each line is judged by itself: punctuation (symbol share, shouting), navigation
-(separators between fragments) and boilerplate phrases. Failing lines go, and a
-document that loses too large a share of its word characters is rejected, as is
-one that is too short or repeats its own 5-word windows too much.
+Each line is judged by itself: punctuation (symbol share, shouting, an ellipsis
+at its end, a long run without any mark), case (capitals throughout), navigation
+(separators between fragments, links) and boilerplate phrases. Failing lines go,
+and a document that loses too large a share of its word characters is rejected,
+as is one that is too short or repeats its own 5-word windows too much.
 
 Defined cases: a null or blank text has no words and is rejected; its cleaned
 text is null or blank. Repeated rows are judged one by one. Columns of the
@@ -25,6 +26,10 @@ BOILERPLATE = (
     "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our", "terms of service", "terms of use",
 )
 NAV_SEPARATORS = (" | ", " » ", " :: ", " > ")
+LINKS = ("http://", "https://", "www.")
+ELLIPSES = ("...", "…")
+MARKS = r"[.,;:!?\x{2026}\x{3002}\x{ff01}\x{ff1f}]"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
@@ -35,6 +40,10 @@ class QualityRules:
     max_symbol_percent: int = 10  # of a line's word characters
     max_shouts: int = 2  # "!!" in a line
     max_separators: int = 2  # navigation separators in a line
+    max_links: int = 2  # links in a line
+    max_capital_percent: int = 70  # of a line's ASCII letters, from min_letters on
+    min_letters: int = 20
+    max_unmarked: int = 300  # word characters of a line without a punctuation mark
     max_lost_percent: int = 40  # of a document's word characters
 
 
@@ -48,15 +57,26 @@ def line_fails(line: Column, rules: QualityRules) -> Column:
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     separators = sum((count_of(line, s) for s in NAV_SEPARATORS[1:]), count_of(line, NAV_SEPARATORS[0]))
     furniture = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (symbols * 100 > chars * rules.max_symbol_percent) | (count_of(line, "!!") > rules.max_shouts) | (separators > rules.max_separators) | furniture
+    links = sum((count_of(line, s) for s in LINKS[1:]), count_of(line, LINKS[0]))
+    capitals = F.length(line) - F.length(F.translate(line, _CAPITALS, ""))
+    small = F.length(line) - F.length(F.translate(line, _CAPITALS.lower(), ""))
+    # Lines begin with a capital or hold names; only those of many are counted through.
+    loud = line.rlike("[A-Z][^a-z]{3}") & (capitals + small >= rules.min_letters) & (capitals * 100 > (capitals + small) * rules.max_capital_percent)
+    end = F.rtrim(line)
+    trails = F.endswith(end, F.lit(ELLIPSES[0])) | F.endswith(end, F.lit(ELLIPSES[1]))
+    unmarked = (chars > rules.max_unmarked) & ~line.rlike(MARKS)
+    symbolic = (symbols * 100 > chars * rules.max_symbol_percent) | (count_of(line, "!!") > rules.max_shouts)
+    return symbolic | trails | unmarked | loud | (separators > rules.max_separators) | (links > rules.max_links) | furniture
 
 
 def judged(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept and cleaned_text."""
     own = [c for c in docs.columns if c.lower() not in _OUT]
-    body = F.coalesce(F.col("`%s`" % text), F.lit(""))
+    given = F.col(f"`{text}`")
+    body = F.coalesce(given, F.lit(""))
     k = rules.window
-    df = docs.select(*(F.col(f"`{c}`") for c in own), body.alias("__text"), words_of(body).alias("__w"), F.split(body, "\n", -1).alias("__lines"))
+    # The columns of docs go along in one, so that their names meet none of those below.
+    df = docs.select(F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in own)).alias("__row"), given.isNull().alias("__null"), body.alias("__text"), words_of(body).alias("__w"), F.split(body, "\n", -1).alias("__lines"))
     windows = F.transform(F.sequence(F.lit(0), F.size("__w") - k), lambda i: F.xxhash64(*(F.get(F.col("__w"), i + j) for j in range(k))))
     spoken = F.filter("__lines", lambda x: x.rlike("[^" + SPACE_CLASS[1:]))
     df = df.select("*", F.when(F.size("__w") >= k, windows).alias("__h"), spoken.alias("__spoken"), F.transform("__lines", lambda x: line_fails(x, rules)).alias("__bad"))
@@ -70,15 +90,16 @@ def judged(docs: DataFrame, text: str = "text", rules: QualityRules = QualityRul
     barrier = F.shiftright(F.monotonically_increasing_id(), 63)
     lost = total(F.transform(F.arrays_zip("__lines", "__bad"), lambda x: F.when(x["__bad"], _word_chars(x["__lines"])).otherwise(F.lit(0))))
     df = df.select(
-        *(F.col(f"`{c}`") for c in own),
+        "__row",
         F.size("__w").cast("long").alias("n_words"),
         _word_chars(F.col("__text")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__spoken") - F.size(F.array_distinct("__spoken"))).cast("long").alias("n_dup_lines"),
         (F.coalesce(covered, F.lit(0)).cast("long") + barrier).alias("n_repeat_words"),
         lost.cast("long").alias("lost_chars"),
-        F.when(F.col(f"`{text}`").isNotNull(), F.array_join(F.filter("__lines", lambda x, i: ~F.get(F.col("__bad"), i)), "\n")).alias("cleaned_text"),
+        F.when(~F.col("__null"), F.array_join(F.filter("__lines", lambda x, i: ~F.get(F.col("__bad"), i)), "\n")).alias("cleaned_text"),
     )
+    df = df.select(*(F.col("__row").getField(c).alias(c) for c in own), *(c for c in df.columns if c != "__row"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * rules.max_lost_percent))
 

@@ -44,7 +44,7 @@ def tables():
 @pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
 def test_matches_brute_force(spark, tables, limit):
     docs, items = tables
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS gram", "3 AS items").select("doc_id", "text")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS gram", "3 AS items", "4 AS n_words", "5 AS __w", "6 AS __row")
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS n")
     got = D.hits(d, b, broadcast_bytes=limit).select("doc_id", "n_words", F.size(D.hit_places(F.col("spans"))).alias("n_hit"), "item_ids").collect()
     assert sorted(((str(r.doc_id), r.n_words, r.n_hit, list(r.item_ids)) for r in got), key=str) == brute(docs, items)

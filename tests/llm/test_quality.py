@@ -21,9 +21,9 @@ def test_base_matches_brute_force(spark):
     parts = ["the", "cat", "é😀", "a|b", "##", " ", "\t", "\n", "\n\n", "one two three four five six", "\x0b", " "]
     rows = [(i, rng.choice(["", " "]).join(rng.choices(parts, k=rng.randrange(0, 60)))) for i in range(300)]
     rows += [(900, None), (901, ""), (902, " \n"), (903, "same words again and " * 8000), (904, "word"), (5, rows[5][1]), (None, "x " * 30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS kept", "1 AS n_words", "2 AS __h")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS kept", "1 AS n_words", "2 AS __h", "3 AS __w", "4 AS __text", "5 AS __row")
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    got = sorted(map(str, (tuple(r) for r in quality.judged(df.drop("__h")).select(*cols).collect())))
+    got = sorted(map(str, (tuple(r) for r in quality.judged(df).select(*cols).collect())))
     assert got == sorted(str((i, *brute(t))) for i, t in rows)
 
 
@@ -37,6 +37,20 @@ def test_lines_and_verdict(spark):
     assert all(r.text == good and r.n_chars == len(good) and r.kept == "en" for r in out.values())
 
 
+def test_line_rules(spark):
+    plain = "A plain line of some words, with a mark at its end."
+    bad = [
+        "see http://a.example and https://b.example and www.c.example now", "And this goes on ...", "And so does this…  ", "word " * 80, "BUY THIS NOW OR NEVER BUY IT AGAIN", "Home | About | News | Help", "All Rights Reserved.", "!! a !! b !!",
+        "### $$$ %%%",
+    ]
+    good = [plain, "NATO and the UN met in 1999.", "see http://a.example or www.b.example", "short", "", "LOUD", "word " * 80 + "end."]
+    df = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    got = {r.line: r.fails for r in df.select("line", quality.line_fails(quality.F.col("line"), quality.QualityRules()).alias("fails")).collect()}
+    assert [x for x in bad if not got[x]] == [] and [x for x in good if got[x]] == []
+    extra = spark.createDataFrame([(1, plain)], "doc_id long, text string").selectExpr("*", "2 AS __h", "3 AS __in", "4 AS __row", "5 AS __body")
+    assert quality.clean(extra, rules=quality.QualityRules(min_words=1)).collect() == extra.collect()
+
+
 def test_query_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.001"
     got = op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
