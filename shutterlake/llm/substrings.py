@@ -19,9 +19,9 @@ bwt_repeats() gives the same marks for a set of strings by merging shard
 Burrows-Wheeler transforms through interleave refinement; see README.md for why
 step 3 does not use it.
 
-Defined cases: a null text is empty; a text shorter than the length loses
-nothing; repeated rows are copies of each other, so all their windows are
-repeated; other columns are not read.
+Defined cases: a null text is empty; a null id is an id like any other; a text
+shorter than the length loses nothing; repeated rows are copies of each other,
+so all their windows are repeated; other columns are not read.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
 
     all_runs = scratch.written(docs.select("id", "th", "text").mapInArrow(runs, f"id {kind}, th long, anchor long, content long, first long, n long, off long"), "runs")
     again = all_runs.groupBy("anchor").agg(F.count("*").alias("k"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("k > 1")
-    again = scratch.written(again.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    again = scratch.written(again.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors", gathered=True)
     met = scratch.written(all_runs.join(again, "anchor"), "met-runs")
     scratch.drop(all_runs)
     whole = ("id", "th", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
@@ -154,13 +154,16 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     contents = met.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "th", "first")).alias("rep"), F.min("n").alias("n"), F.min("off").alias("off"))
     contents = scratch.written(contents, "contents")
     copied = met.where("mixed").join(contents.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select(*whole)
-    sizes = scratch.written(contents.groupBy("anchor").agg(F.count("*").alias("contents")), "anchor-sizes")
+    sizes = scratch.written(contents.groupBy("anchor").agg(F.count("*").alias("contents")), "anchor-sizes", gathered=True)
     # The bytes of one run per content; only documents that hold one are read on.
     asked = contents.join(sizes, "anchor").select(F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), F.struct("anchor", F.col("copies").alias("copies"), "off", F.col("rep.first").alias("first"), "n", (F.col("contents") > CROWD).alias("crowded")).alias("run"))
-    lists = scratch.written(asked.groupBy("id", "th").agg(F.collect_list("run").alias("runs")), "asked")
+    lists = scratch.written(asked.groupBy("id", "th").agg(F.collect_list("run").alias("runs")), "asked", gathered=True)
     few = lists.count() <= BROADCAST_ROWS  # 16 bytes a row
-    some = docs.join(F.broadcast(lists.select("id", "th")), ["id", "th"], "left_semi") if few else docs
-    with_text = some.select("id", "th", "text").join(lists.hint("merge"), ["id", "th"])
+    named = lists.select(F.col("id").alias("of"), F.col("th").alias("of_th"), "runs")
+    same = docs["id"].eqNullSafe(F.col("of")) & (docs["th"] == F.col("of_th"))
+    some = docs.join(F.broadcast(named.drop("runs")), same, "left_semi") if few else docs
+    same = some["id"].eqNullSafe(F.col("of")) & (some["th"] == F.col("of_th"))
+    with_text = some.join(named.hint("merge"), same).select("id", "th", "text", "runs")
     context_schema = f"id {kind}, th long, first long, anchor long, copies long, off long, crowded boolean, context binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     spans = _spans(src.where(F.octet_length("text") >= length), length).groupBy("id", "th").agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    spans = scratch.written(spans, "removed")
+    spans = scratch.written(spans, "removed", gathered=True)
     joined = src.join(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

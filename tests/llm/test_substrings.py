@@ -34,6 +34,8 @@ def texts():
             parts += [s[a:b], prose(rng.randrange(0, 30))]
         rows.append((i, rng.choice(["", " "]).join(parts)))
     rows += [(70, rows[3][1]), (70, rows[3][1]), (71, None), (72, ""), (73, "z" * 700), (74, "ab" * 300), (75, "x" * 199), (76, "q" * 200), (None, rows[5][1])]
+    passage = prose(100)
+    rows += [(None, f"{prose(50)} {passage} {prose(50)}"), (90, f"{prose(40)} {passage} {prose(60)}"), (None, f"{prose(20)} {shared[0]} {prose(20)}")]
     line = "a line that is common to many texts and longer than the anchors are, "
     return rows + [(100 + i, f"{prose(30)} {line} {prose(30)}") for i in range(12)]
 
