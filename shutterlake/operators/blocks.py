@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 2000
+#: Size up to which one side of a join by best cosine is held whole.
+BROADCAST_BYTES = 32 << 20
 
 
 def _block_count(df: DataFrame, rows: int) -> int:
@@ -47,8 +50,13 @@ def cosine_pairs(df: DataFrame, threshold: float, key: str = "id", vector: str =
 def cosine_best(left: DataFrame, right: DataFrame, key: str = "id", vector: str = "vector", exclude: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, best, score): for each left row the right row of the highest cosine; of equal scores the lowest id.
 
-    exclude: a column of left with a right id that its row must not get.
+    exclude: a column of left with a right id that its row must not get. A right
+    side of at most BROADCAST_BYTES, which is measured, goes to every task as one
+    matrix; a larger one meets the left side in pairs of blocks.
     """
+    rows, dims = right.agg(F.count("*"), F.max(F.size(vector))).first()
+    if rows * max(dims or 0, 1) * 8 <= BROADCAST_BYTES:
+        return _best_of_matrix(left, right, key, vector, exclude)
     na, nb = _block_count(left, block_rows), _block_count(right, block_rows)
     ban = F.col(exclude).cast("long") if exclude else F.lit(None).cast("long")
     both = ("long", "array<double>")
@@ -72,6 +80,26 @@ def cosine_best(left: DataFrame, right: DataFrame, key: str = "id", vector: str
     return top.select("id", (-F.col("t.n")).alias("best"), F.col("t.score").alias("score"))
 
 
+def _best_of_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, exclude: str | None) -> DataFrame:
+    held = right.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").orderBy("k").toPandas()  # BROADCAST_BYTES at most
+    shared = left.sparkSession.sparkContext.broadcast((held["k"].to_numpy(dtype=np.int64), _unit(held["v"]) if len(held) else np.zeros((0, 0))))
+    ban = F.col(exclude).cast("double") if exclude else F.lit(None).cast("double")
+    rows = left.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), ban.alias("ban")).where("v is not null")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for frame in frames:
+            if not len(frame) or not len(ids):
+                continue
+            s = np.round(_unit(frame["v"]) @ matrix.T, 12)
+            s[ids[None, :] == frame["ban"].to_numpy(dtype=np.float64)[:, None]] = -2.0
+            j = s.argmax(axis=1)
+            out = pd.DataFrame({"id": frame["k"].to_numpy(), "best": ids[j], "score": s[np.arange(len(frame)), j]})
+            yield out[out["score"] > -2.0]
+
+    return rows.mapInPandas(run, "id long, best long, score double")
+
+
 def hamming_pairs(df: DataFrame, most: int, key: str = "id", bits: str = "bits", width: int = 64, new: str | None = None) -> DataFrame:
     """(a, b, distance) for all a < b within ``most`` bits, exactly, by bands.
 

@@ -27,6 +27,26 @@ def groups(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
+def print_groups(fingerprints: DataFrame, most: int = 10, day: str = "day") -> DataFrame:
+    """(id, group_id) of the groups that duplicate_pairs of (id, bits, day) join, without a pair for every two equal ones.
+
+    Rows of one fingerprint and day are links of each other, so that one stands for them all; groups of one row are left out.
+    """
+    alike = fingerprints.groupBy("bits", F.col(day).alias("day")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    found = groups(duplicate_pairs(alike.select("id", "bits", "day"), most))
+    named = alike.join(found, "id", "left").where("group_id is not null or n > 1").select(F.col("bits").alias("__bits"), F.col("day").alias("__day"), F.coalesce("group_id", "id").alias("group_id"))
+    same = (fingerprints["bits"] == named["__bits"]) & fingerprints[day].eqNullSafe(named["__day"])
+    return fingerprints.join(named, same).select("id", "group_id")
+
+
+def verified_pairs(pairs: DataFrame, micros: DataFrame, most: float = 0.34) -> DataFrame:
+    """Pairs (a, b, ...) whose small pictures differ little; micros: (id, micro). A pair without both pictures stays."""
+    a, b = (micros.select(F.col("id").alias(n), F.col("micro").alias(f"__{n}")) for n in "ab")
+    j = pairs.join(a, "a", "left").join(b, "b", "left")
+    near = F.col("__a").isNull() | F.col("__b").isNull() | (micro_difference("__a", "__b") <= most)
+    return j.where(near).select(*pairs.columns)
+
+
 def renumbered(members: DataFrame) -> DataFrame:
     """(id, group_no): groups of several members numbered 1, 2, ... by their smallest member. members: (id, group_id)."""
     sizes = members.groupBy("group_id").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -46,7 +66,11 @@ def cosine_groups(vectors: DataFrame, threshold: float, key: str = "id", vector:
     return vectors.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def purify(frame: pd.DataFrame, least: float = 0.60, most_rows: int = 2000) -> pd.DataFrame:
+#: Clusters of more rows are not cut up.
+MOST_ROWS = 2000
+
+
+def purify(frame: pd.DataFrame, least: float = 0.60, most_rows: int = MOST_ROWS) -> pd.DataFrame:
     """Split one cluster by complete linkage so that all cosines inside a part reach ``least``; noise and very large clusters stay."""
     out = frame[["id", "label"]].assign(part=0)
     n = len(frame)
@@ -74,8 +98,11 @@ def purify(frame: pd.DataFrame, least: float = 0.60, most_rows: int = 2000) -> p
 
 
 def purified(labelled: DataFrame) -> DataFrame:
-    """(id, label, part) from (id, label, vector), cluster by cluster."""
-    return labelled.groupBy("label").applyInPandas(lambda f: purify(f.sort_values("id").reset_index(drop=True)), "id long, label long, part long")
+    """(id, label, part) from (id, label, vector), cluster by cluster; noise and very large clusters pass by and are never gathered."""
+    sizes = labelled.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST_ROWS)).select("label")
+    cut = labelled.join(sizes, "label", "left_semi").groupBy("label").applyInPandas(lambda f: purify(f.sort_values("id").reset_index(drop=True)), "id long, label long, part long")
+    rest = labelled.join(sizes, "label", "left_anti").select(F.col("id").cast("long"), F.col("label").cast("long"), F.lit(0).cast("long").alias("part"))
+    return cut.unionByName(rest)
 
 
 def keypoint_matches(left: np.ndarray, right: np.ndarray, ratio: float = 0.75) -> int:

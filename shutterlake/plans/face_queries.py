@@ -199,3 +199,13 @@ query("representative_embedding", ("face_vectors",), "SELECT pos AS place, round
 query("centroids_updated", ("face_vectors",), "SELECT person_id, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE))/count(*), 9) AS first FROM face_vectors WHERE person_id IS NOT NULL AND cluster_id%5<>0 GROUP BY 1")(
     lambda v: P.updated_sums(P.summed(v.where("cluster_id % 5 <> 1"), "person_id"), v.where("cluster_id % 5 = 1"), v.where("cluster_id % 5 = 0"), "person_id").select("person_id", "n", F.round(F.get("total", F.lit(0)) / F.col("n"), 9).alias("first"))
 )
+query("hamming_pairs_micro_veto", ("fingerprints", "face_vectors"), """SELECT a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits)) AS distance FROM fingerprints a JOIN fingerprints b ON a.id<b.id JOIN face_vectors va ON va.face_id=a.id JOIN face_vectors vb ON vb.face_id=b.id
+ WHERE bit_count(xor(a.bits, b.bits))<=20 AND NOT coalesce(a.day<>b.day, FALSE) AND (SELECT avg(abs(va.embedding[i]-vb.embedding[i])) FROM range(1, 65) r(i)) <= 0.125""")(
+    lambda p, v: G.verified_pairs(G.duplicate_pairs(p, 20), v.select(F.col("face_id").alias("id"), F.col("embedding").alias("micro")), 0.125).withColumn("distance", F.col("distance").cast("int"))
+)
+query("clusters_purified", ("face_vectors",), "SELECT face_id AS id, cluster_id AS label, 0 AS part FROM face_vectors WHERE cluster_id%2=0 UNION ALL SELECT face_id, -1, 0 FROM face_vectors WHERE cluster_id%2=1")(
+    lambda v: G.purified(v.select(F.col("face_id").alias("id"), F.when(F.col("cluster_id") % 2 == 0, F.col("cluster_id")).otherwise(-1).cast("long").alias("label"), F.when(F.col("face_id") % 2 == 0, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(1.0), F.lit(0.3))).alias("vector")))
+)
+query("same_clusters_split", ("face_vectors",), "SELECT face_id AS id, cluster_id%5 AS label, CASE WHEN face_id%3=arg_min(face_id, face_id) OVER (PARTITION BY cluster_id%5)%3 THEN 0 ELSE 1 END AS part FROM face_vectors WHERE face_id%3<2")(
+    lambda v: G.purified(v.where("face_id % 3 < 2").select(F.col("face_id").alias("id"), (F.col("cluster_id") % 5).alias("label"), F.when(F.col("face_id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("vector")))
+)

@@ -190,7 +190,7 @@ _HAMMING = "SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.bits, b.bits)) AS
 _query("hamming_pairs", ("fingerprints",), _HAMMING)(lambda f: G.duplicate_pairs(f, 19, None))
 _query("hamming_pairs_date_veto", ("fingerprints",), _HAMMING + " AND (a.day IS NULL OR b.day IS NULL OR a.day=b.day)")(lambda f: G.duplicate_pairs(f, 19))
 _query("incremental_hamming_new_vs_all", ("fingerprints",), _HAMMING + " AND (a.id%10=0 OR b.id%10=0)")(lambda f: G.duplicate_pairs(f.withColumn("new", F.col("id") % 10 == 0), 19, None, "new"))
-QUERIES["hamming_components"] = lambda spark, sf: G.groups(G.duplicate_pairs(A.fingerprints(spark, sf), 17))
+QUERIES["hamming_components"] = lambda spark, sf: G.print_groups(A.fingerprints(spark, sf), 17)
 _H17 = _HAMMING.replace("<=19", "<=17") + " AND (a.day IS NULL OR b.day IS NULL OR a.day=b.day)"
 ORACLE_SQL["hamming_components"] = "SELECT id, group_id FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM (" + _components_sql(_H17, "fingerprints", "id").replace("WITH RECURSIVE ", f"WITH RECURSIVE fingerprints AS ({A.SQL_VIEWS['fingerprints']}), ", 1) + ")) WHERE n>1"
 _query("area_band_join", ("photos",), "SELECT a.duplicate_group_id, a.id AS a, b.id AS b FROM photos a JOIN photos b ON a.duplicate_group_id=b.duplicate_group_id AND a.id<b.id WHERE greatest(a.width*a.height, b.width*b.height)<=2.0*least(a.width*a.height, b.width*b.height)")(
