@@ -43,6 +43,8 @@ from shutterlake.operators.graph import connected_components
 SEED = 42
 BLOCKS, BLOCK_BITS = 4, 16
 MINIMA_OF, KEYS = 5, 20
+#: Longs of 64 marks each that a set of shingles has.
+MARKS = 16
 #: Fingerprints under one key from which variants replace pairs.
 CROWDED = 32
 _CHUNK = 1 << 16
@@ -142,22 +144,25 @@ def _content(text: str | None) -> int:
 
 
 def _signatures(src: DataFrame, shingle: int) -> DataFrame:
-    """(id, content, size, keys): a hash of the words, the size of the set of shingles, and its MinHash keys; written."""
+    """(id, content, size, marks, keys): a hash of the words; of the set of shingles the size, a bit for each by hash, and the MinHash keys; written."""
     kind = src.schema["id"].dataType.simpleString()
     masks = np.array(minhash.masks(MINIMA_OF * KEYS), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, sizes, keys = [], [], []
+            contents, sizes, marks, keys = [], [], [], []
             for t in batch.column(1):
                 hashes = np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)
                 low = [np.min(hashes ^ m) for m in masks] if len(hashes) else []
                 contents.append(_content(t.as_py()))
                 sizes.append(len(hashes))
+                bits = np.zeros(64 * MARKS, dtype=np.uint8)
+                bits[hashes & (64 * MARKS - 1)] = 1
+                marks.append(np.packbits(bits, bitorder="little").view(np.int64))
                 keys.append(np.array([xxhash.xxh64_intdigest(np.array(low[i : i + MINIMA_OF]).tobytes(), i) for i in range(0, len(low), MINIMA_OF)], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "content", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "content", "size", "marks", "keys"])
 
-    return scratch.written(src.mapInArrow(run, f"id {kind}, content long, size long, keys array<long>"), "signatures")
+    return scratch.written(src.mapInArrow(run, f"id {kind}, content long, size long, marks array<long>, keys array<long>"), "signatures")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -178,7 +183,7 @@ def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     """docs with one row of each group of texts that are linked by similarity; what kept_one says of ids holds here."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = _signatures(src, shingle)
-    firsts = scratch.written(rows.groupBy("content").agg(F.min("id").alias("first"), F.first("size").alias("x"), F.first("keys").alias("keys")), "contents")
+    firsts = scratch.written(rows.groupBy("content").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("keys").alias("keys")), "contents")
     members = bands.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -189,7 +194,14 @@ def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
         common = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(a, "src").join(b, "dst").where(common >= least * (F.size("ha") + F.size("hb") - common) - 1e-9).select("src", "dst")
 
-    groups = bands.links(members, firsts.select(F.col("content").alias("node"), "x"), lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9, verified)
+    def may(a: Column, b: Column) -> Column:
+        """True if sizes and marks allow the similarity: sets that share enough lack few shingles of each other, and each missing mark is one."""
+        missing = lambda p, q: sum(F.bit_count(p[f"m{k}"].bitwiseAND(F.bitwise_not(q[f"m{k}"]))) for k in range(MARKS))
+        shared = least / (1 + least) * (a["size"] + b["size"]) - 1e-9
+        return (F.least(a["size"], b["size"]) >= least * F.greatest(a["size"], b["size"]) - 1e-9) & (a["size"] - missing(a, b) >= shared) & (b["size"] - missing(b, a) >= shared)
+
+    x = F.struct("size", *(F.get("marks", F.lit(k)).alias(f"m{k}") for k in range(MARKS)))
+    groups = bands.links(members, firsts.select(F.col("content").alias("node"), x.alias("x")), may, verified)
     named = scratch.written(firsts.join(groups, firsts.content == groups.node, "left").select("content", "first", F.coalesce("component", "content").alias("group")), "named", gathered=True)
     lowest = scratch.written(named.groupBy("group").agg(F.min("first").alias("lowest")), "lowest", gathered=True)
     of = scratch.written(named.join(lowest, "group").select("content", "lowest"), "components", gathered=True)
