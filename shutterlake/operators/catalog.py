@@ -322,6 +322,27 @@ def last_used(cache: DataFrame, keep: int) -> DataFrame:
     return cache.orderBy(F.col("used_at").desc(), "key").limit(keep)
 
 
+def sorted_view(photos: DataFrame, by_name: bool = False, descending: bool = False) -> DataFrame:
+    """A view in order of name, whatever the case, or of date; photos without a date come first."""
+    key = F.lower("filename") if by_name else F.coalesce("date_taken", "mtime_ts")
+    return photos.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), "id")
+
+
+def moved_cache(cache: DataFrame, old: str, new: str) -> DataFrame:
+    """Cached rows (key, path, ...) after a folder moved; keys follow from paths."""
+    return cache.withColumn("path", C.moved("path", old, new)).withColumn("key", C.cache_key("path"))
+
+
+def purged_paths(outcomes: DataFrame) -> DataFrame:
+    """Paths that may go from the catalog: files that are in the trash now, or were missing already. outcomes: (path, trashed, missing)."""
+    return outcomes.where(F.col("trashed") | F.col("missing")).select("path")
+
+
+def of_current_generation(results: DataFrame, generations: DataFrame) -> DataFrame:
+    """Scan results of folders whose scan was not started anew meanwhile. generations: (directory, generation)."""
+    return results.join(generations.select("directory", "generation"), ["directory", "generation"], "left_semi")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) between two listings: appeared or disappeared."""
     b, a = before.select("path", F.lit(True).alias("__b")), after.select("path", F.lit(True).alias("__a"))

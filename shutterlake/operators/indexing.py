@@ -20,6 +20,14 @@ def errors_of(errors: DataFrame, excluded: bool | None = None) -> DataFrame:
     return errors if excluded is None else errors.where(F.coalesce("excluded", F.lit(False)) == excluded)
 
 
+def index_outcomes(outcomes: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indexed photos, errors) after a run: (path, error_type, n_faces, rotation, at); a photo that now works is no error any more."""
+    worked = outcomes.where("error_type is null")
+    failed = outcomes.where("error_type is not null").select("path", "error_type", F.col("at").alias("last_attempt"), F.lit(False).alias("excluded"))
+    left = errors.join(worked.select("path"), "path", "left_anti").select(*errors.columns)
+    return worked.select("path", F.col("at").alias("indexed_at"), F.col("n_faces").alias("face_count"), "rotation"), mark_errors(left, failed)
+
+
 def set_excluded(errors: DataFrame, paths: DataFrame, excluded: bool, now: float) -> DataFrame:
     """A photo without an error gets a row only to be excluded."""
     hit = paths.select("path").distinct().withColumn("__hit", F.lit(True))

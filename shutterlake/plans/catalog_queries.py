@@ -153,3 +153,17 @@ query("export_names", ("photos",), """WITH p AS (SELECT id, CASE WHEN media_type
 query("duplicate_report_rows", ("photos",), """SELECT printf('<tr><td>%d</td><td>%d</td><td><ul>%s</ul></td></tr>', duplicate_group_id, count(*), string_agg(printf('<li>%s (%d x %d)</li>', path, width, height), '' ORDER BY path)) AS html FROM photos WHERE duplicate_group_id IS NOT NULL GROUP BY duplicate_group_id HAVING count(*)>1""")(I.duplicate_report)
 query("dvd_folders", ("photos",), "SELECT DISTINCT directory AS folder FROM photos WHERE id%30=0")(lambda p: S.dvd_folders(p.select(F.concat("directory", F.when(F.col("id") % 30 == 0, "/Video_Ts/").otherwise("/VIDEO/"), "filename").alias("path"))))
 query("video_extensions", ("photos",), "SELECT id, id%3<>1 AS video FROM photos")(lambda p: p.select("id", C.is_video(F.concat("path", F.when(F.col("id") % 3 == 0, ".VOB").when(F.col("id") % 3 == 1, ".tsx").otherwise(".mkv"))).alias("video")))
+query("names_descending", ("photos",), "SELECT id FROM photos ORDER BY lower(filename) DESC, id LIMIT 100")(lambda p: K.sorted_view(p, by_name=True, descending=True).limit(100).select("id"))
+query("dates_descending", ("photos",), "SELECT id FROM photos ORDER BY coalesce(date_taken, mtime_ts) DESC, id LIMIT 100")(lambda p: K.sorted_view(p, descending=True).limit(100).select("id"))
+query("thumbnails_moved", ("photos",), "SELECT id, CASE WHEN starts_with(path, '/lib/ASIA/') THEN md5('/arch'||substr(path, 10)) ELSE md5(path) END AS key FROM photos")(lambda p: K.moved_cache(p.select("id", "path"), "/lib/ASIA", "/arch").select("id", "key"))
+query("trash_purged", ("photos",), "SELECT path FROM photos WHERE id%3=0 OR id%7=0")(lambda p: K.purged_paths(p.select("path", (F.col("id") % 3 == 0).alias("trashed"), (F.col("id") % 7 == 0).alias("missing"))))
+query("stale_scans_dropped", ("photos",), "SELECT id FROM photos WHERE NOT (contains(directory, 'ASIA') AND id%2=0) AND NOT (NOT contains(directory, 'ASIA') AND id%2=1)")(
+    lambda p: K.of_current_generation(p.select("id", "directory", (F.col("id") % 2).alias("generation")), p.select("directory", F.when(F.contains(F.col("directory"), F.lit("ASIA")), 1).otherwise(0).cast("long").alias("generation")).distinct()).select("id")
+)
+query("index_outcomes", ("photos",), "SELECT path, 3 AS face_count FROM photos WHERE id%4=1")(lambda p: I.index_outcomes(_outcomes(p), _errors(p))[0].select("path", "face_count"))
+query("index_outcome_errors", ("photos",), "SELECT path, CASE WHEN id%4=3 THEN 'timeout' ELSE 'crash' END AS error_type FROM photos WHERE id%4=3 OR (id%5=0 AND id%4<>1)")(lambda p: I.index_outcomes(_outcomes(p), _errors(p))[1].select("path", "error_type"))
+
+
+def _outcomes(p):
+    """Photos of an odd id were tried; every other one of them failed."""
+    return p.where("id % 2 = 1").select("path", F.when(F.col("id") % 4 == 3, "timeout").alias("error_type"), F.lit(3).alias("n_faces"), F.lit(0).alias("rotation"), F.lit(9.0).alias("at"))

@@ -1,4 +1,4 @@
-"""Versioned table snapshots on plain Parquet: a write makes a new version, then a pointer names it."""
+"""Versioned table snapshots on plain Parquet: a write makes a new version, then a mark of its own says that it is whole."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-POINTER = T.StructType([T.StructField("version", T.LongType())])
-
-
 class Store:
-    """Tables under one folder: <name>/v=<n>/ and <name>/current."""
+    """Tables under one folder: <name>/v=<n>/, whole once there is a file <name>/done-<n>. Nothing is ever overwritten but a version that was not finished."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -20,9 +17,16 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _numbers(self, name: str, prefix: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted((int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)), reverse=True)
+
     def version(self, name: str) -> int:
-        fs, p = self._fs(f"{self.root}/{name}/current")
-        return self.spark.read.schema(POINTER).json(f"{self.root}/{name}/current").first().version if fs.exists(p) else 0
+        """The newest whole version; 0 if there is none."""
+        return max(self._numbers(name, "done-"), default=0)
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """The current version; with a schema, columns that it lacks are null and others are left out."""
@@ -37,7 +41,8 @@ class Store:
     def write(self, name: str, df: DataFrame) -> int:
         n = self.version(name) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={n}")
-        self.spark.createDataFrame([(n,)], POINTER).coalesce(1).write.mode("overwrite").json(f"{self.root}/{name}/current")
+        fs, mark = self._fs(f"{self.root}/{name}/done-{n}")
+        fs.create(mark, False).close()
         return n
 
     def purge_if_version_differs(self, name: str, wanted: int, cache_version: int) -> bool:
@@ -48,10 +53,7 @@ class Store:
         return True
 
     def backups(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{name}")
-        if not fs.exists(p):
-            return []
-        return sorted((int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")), reverse=True)
+        return self._numbers(name, "done-")
 
     def restore(self, name: str, version: int) -> int:
         return self.write(name, self.spark.read.parquet(f"{self.root}/{name}/v={version}"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shutterlake.functions import columns as C
 from shutterlake.operators import catalog, clustering
+from shutterlake.sources.files import IMAGE_EXTENSIONS
 from shutterlake.sources.snapshots import Store
 
 
@@ -22,10 +25,15 @@ def suppressed(events: DataFrame, ttl_ms: int = 10_000) -> DataFrame:
     """Folder changes without those that the program itself declared.
 
     events: (directory, name, declared, at_ms). A declared name is held for
-    ttl_ms and absorbs the next change of that name, once.
+    ttl_ms and absorbs the next change of that name, once. A folder that holds
+    no name has no state, and what nothing asks for goes after ttl_ms.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["directory", "name", "at_ms"])
+            return
         held = dict(zip(*state.get)) if state.exists else {}
         out = []
         for frame in frames:
@@ -35,10 +43,14 @@ def suppressed(events: DataFrame, ttl_ms: int = 10_000) -> DataFrame:
                     held[row.name] = row.at_ms + ttl_ms
                 elif held.pop(row.name, None) is None:
                     out.append((key[0], row.name, row.at_ms))
-        state.update((list(held), [held[n] for n in held]))
+        if held:
+            state.update((list(held), [held[n] for n in held]))
+            state.setTimeoutDuration(ttl_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["directory", "name", "at_ms"])
 
-    return events.groupBy("directory").applyInPandasWithState(run, "directory string, name string, at_ms long", "names array<string>, ends array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("directory").applyInPandasWithState(run, "directory string, name string, at_ms long", "names array<string>, ends array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_scans(store: Store, table: str = "photos") -> Callable[[DataFrame, int], None]:
@@ -68,3 +80,23 @@ def incremental_duplicates(store: Store, most: int = 10, table: str = "fingerpri
         store.write(table, every.drop("new"))
 
     return step
+
+
+def scan_stream(spark: SparkSession, folder: str, files_per_trigger: int = 500) -> DataFrame:
+    """(path, mtime_ts, file_size) of media files as they appear below a folder, so many a trigger at most."""
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
+    rows = files.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    path = F.regexp_replace("path", "^file:/+", "/")
+    out = rows.select(path.alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime_ts"), F.col("length").alias("file_size"))
+    return out.where(C.extension("path").isin(*IMAGE_EXTENSIONS, *C.VIDEO_EXTENSIONS) & ~C.pruned(F.substring(F.col("path"), len(folder.rstrip("/")) + 1, 1 << 20)))
+
+
+def visible(photos: DataFrame, criteria: catalog.Search) -> DataFrame:
+    """New photos that the current view shows, from a stream as from a table."""
+    return catalog.search(photos, criteria)
+
+
+def partial_groups(members: DataFrame, show: Callable[[DataFrame], None], every: str = "2 seconds") -> StreamingQuery:
+    """Start a query that shows, again and again, the sizes of the groups (group_id) that changed since."""
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("n"))
+    return sizes.writeStream.outputMode("update").trigger(processingTime=every).foreachBatch(lambda batch, _: show(batch)).start()

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shutterlake.functions import columns as C
-from shutterlake.operators import blocks, catalog, clustering, faces, history
+from shutterlake.operators import blocks, catalog, clustering, faces, history, refresh
+from shutterlake.operators.numbering import numbered
 
 
 def test_bridge_merges_groups(spark):
@@ -131,3 +132,39 @@ def test_face_changes(spark):
     best = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "cluster_id long, person_id long")
     sizes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 9)], "cluster_id long, n long")
     assert [tuple(r) for r in faces.regrouped_singletons(best, sizes).collect()] == [(5, [1, 2])]
+
+
+def test_refresh_groups_like_clusters(spark):
+    rows = [(1, 1, None, 1.0, 0.0), (2, 2, None, 0.99, 0.1), (3, 3, None, 0.0, 1.0), (4, 9, 7, 0.95, 0.2), (5, 9, 7, 0.9, 0.25), (6, 4, None, -1.0, 0.0)]
+    f = spark.createDataFrame([(i, i, c, p, None, None, False, False, True, 5, 5) for i, c, p, *_ in rows], "id long, photo_id long, cluster_id long, person_id long, suggestion_person_id long, suggestion_score double, ignored boolean, pinned boolean, has_embedding boolean, w long, h long")
+    v = spark.createDataFrame([(i, [x, y]) for i, _, _, x, y in rows], "face_id long, embedding array<double>")
+    view = refresh.grouped(f, v)
+    got = {r.cluster_id: (r.n, r.group_id, r.person_id, r.tier) for r in view.collect()}
+    assert got == {1: (1, 1, 7, "assign"), 2: (1, 1, 7, "assign"), 3: (1, 3, 7, "none"), 4: (1, 4, 7, "none")}
+    after = {r.id: r.person_id for r in refresh.promoted(f, view).collect()}
+    assert after == {1: 7, 2: 7, 3: None, 4: 7, 5: 7, 6: None}
+    assert refresh.changed_since(f, 3) and not refresh.changed_since(f, 4)
+
+
+def test_numbers_without_one_task(spark):
+    df = spark.range(1000).where("id % 3 = 0").withColumnRenamed("id", "k")
+    assert [(r.k, r.n) for r in numbered(df, "k").orderBy("k").collect()] == [(3 * i, i + 1) for i in range(334)]
+    assert numbered(df.where("false"), "k").count() == 0
+
+
+def test_best_by_blocks_and_by_matrix_agree(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], rng.choice([None, i % 7])) for i in range(60)]
+    left = spark.createDataFrame(rows, "id long, vector array<double>, ban long")
+    right = spark.createDataFrame([(i, v) for i, v, _ in rows[:7]], "id long, vector array<double>")
+    whole = sorted(map(tuple, blocks.cosine_best(left, right, exclude="ban").collect()))
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    assert whole == sorted(map(tuple, blocks.cosine_best(left, right, exclude="ban", block_rows=10).collect()))
+
+
+def test_groups_of_prints_match_pairs(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([0, 0, 0x3FF, 0x7FF, rng.getrandbits(62)]), rng.choice([None, 1, 1, 2])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, bits long, day long")
+    want = {(r.id, r.group_id) for r in clustering.groups(clustering.duplicate_pairs(df, 10)).collect()}
+    assert {(r.id, r.group_id) for r in clustering.print_groups(df, 10).collect()} == want

@@ -51,3 +51,27 @@ def test_incremental_duplicates_equal_batch(spark, tmp_path):
     step(df.where("id >= 5"), 1)
     want = {(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and bin(x ^ y).count("1") <= 2}
     assert {(r.a, r.b) for r in store.read("pairs").collect()} == want
+
+
+def test_scan_stream_and_partial_groups(spark, tmp_path):
+    folder = tmp_path / "lib"
+    (folder / "thumbnails").mkdir(parents=True)
+    for name in ("a.jpg", "b.mp4", "c.txt", "thumbnails/d.jpg"):
+        (folder / name).write_bytes(b"12345")
+    rows = drain(library.scan_stream(spark, str(folder), 1), "scanned")
+    assert sorted((r.path.rsplit("/", 1)[1], r.file_size) for r in rows) == [("a.jpg", 5), ("b.mp4", 5)]
+    spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, group_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    q = library.partial_groups(spark.readStream.schema("id long, group_id long").parquet(str(tmp_path / "in")), lambda batch: seen.extend(batch.collect()), "0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.group_id, r.n) for r in seen} == {(1, 2), (2, 1)}
+
+
+def test_unfinished_version_is_written_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.write("t", spark.range(3)) == 1 and store.write("t", spark.range(4)) == 2
+    spark.range(9).write.parquet(str(tmp_path / "store/t/v=3"))  # the process ended before the mark
+    assert store.version("t") == 2 and store.read("t").count() == 4 and store.backups("t") == [2, 1]
+    assert store.write("t", spark.range(5)) == 3 and store.read("t").count() == 5
+    assert store.restore("t", 1) == 4 and store.read("t").count() == 3
