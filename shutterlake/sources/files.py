@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from shutterlake.functions import columns as C
 
-JOURNAL = T.StructType([T.StructField("ts", T.DoubleType()), T.StructField("wall", T.StringType()), T.StructField("tid", T.LongType()), T.StructField("thread", T.StringType()), T.StructField("event", T.StringType()), T.StructField("msg", T.StringType()), T.StructField("elapsed_ms", T.DoubleType()), T.StructField("bad", T.StringType())])
+JOURNAL = T.StructType([T.StructField("ts", T.DoubleType()), T.StructField("wall", T.StringType()), T.StructField("tid", T.LongType()), T.StructField("thread", T.StringType()), T.StructField("event", T.StringType()), T.StructField("msg", T.StringType()), T.StructField("elapsed_ms", T.DoubleType())])
 # Extensions that a scan takes, besides videos.
 IMAGE_EXTENSIONS = ("arw", "bmp", "cr2", "cr3", "dng", "gif", "heic", "heif", "jpeg", "jpg", "nef", "orf", "png", "raf", "rw2", "tif", "tiff", "webp")
 
@@ -27,10 +27,15 @@ def dvd_folders(files: DataFrame) -> DataFrame:
     return files.where(at > 1).select(F.array_join(F.slice(parts, 1, (at - 1).cast("int")), "/").alias("folder")).distinct()
 
 
+def json_lines(spark: SparkSession, path: str, schema: T.StructType, needed: str) -> DataFrame:
+    """Rows of JSON lines (journals, histories of problems, registries of deleted files); lines that are not JSON, or lack what is needed, are left out."""
+    whole = T.StructType([*schema.fields, T.StructField("bad", T.StringType())])
+    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
+    return rows.where(F.col("bad").isNull() & F.col(needed).isNotNull()).drop("bad")
+
+
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON-lines journal; lines that are not JSON are left out."""
-    rows = spark.read.schema(JOURNAL).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").json(path)
-    return rows.where("bad is null and event is not null").drop("bad")
+    return json_lines(spark, path, JOURNAL, "event")
 
 
 def append_journal(rows: DataFrame, path: str) -> None:
@@ -54,8 +59,14 @@ def contacts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sidecar_sections(spark: SparkSession, path: str) -> DataFrame:
-    """(ini, section, entries) of sidecar files, read whole: entries is a map of the lines key=value of a [section]."""
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("ini"), F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")).alias("t"))
+    """(ini, section, entries) of sidecar files, read whole: entries is a map of the lines key=value of a [section].
+
+    Files that are no UTF-8 are read as Latin-1; those below a folder Originals are left out.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where(~F.exists(F.split("path", "/"), lambda p: F.lower(p) == "originals"))
+    value = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    text = files.select(F.col("path").alias("ini"), F.concat(F.lit("\n"), F.regexp_replace(value, "\r", "")).alias("t"))
     part = text.select("ini", F.explode(F.slice(F.split("t", r"\n\["), 2, 1 << 30)).alias("s"))
     lines = F.filter(F.slice(F.split("s", "\n"), 2, 1 << 30), lambda x: F.contains(x, F.lit("=")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))

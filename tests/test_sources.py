@@ -92,3 +92,17 @@ def test_extensions(spark, tmp_path):
     bus.on("e", seen.append, once=True)
     bus.emit("e", 1), bus.emit("e", 2)
     assert seen == [1] and len(bus.errors) == 2
+
+
+def test_sidecars_in_latin_1_and_below_originals(spark, tmp_path):
+    (tmp_path / "Originals").mkdir()
+    for name, data in (("a.ini", "[é.jpg]\nrotate=1\n".encode("latin-1")), ("b.ini", "[ü.jpg]\nrotate=2\n".encode()), ("Originals/c.ini", b"[c.jpg]\nrotate=3\n")):
+        (tmp_path / name).write_bytes(data)
+    rows = files.sidecar_sections(spark, str(tmp_path)).collect()
+    assert sorted((r.section, r.entries["rotate"]) for r in rows) == [("é.jpg", "1"), ("ü.jpg", "2")]
+
+
+def test_json_lines_of_any_schema(spark, tmp_path):
+    (tmp_path / "h.jsonl").write_text('{"path": "/a", "n": 1}\nnot json\n{"n": 2}\n{"path": "/b"}\n')
+    rows = files.json_lines(spark, str(tmp_path / "h.jsonl"), files.T.StructType.fromDDL("path string, n long"), "path").collect()
+    assert sorted((r.path, r.n) for r in rows) == [("/a", 1), ("/b", None)]
