@@ -28,6 +28,51 @@ def test_language_edge_cases(spark):
     assert language.predict(df.where("false"), model).count() == 0
 
 
+def plain_vector(text, idf):
+    """TF-IDF of byte n-grams of 1 to 3, one n-gram at a time."""
+    data = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()) + b" "
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = int.from_bytes(data[i : i + n], "big") + (n << 24)
+            place = code * 2654435761 % 2**32 >> 20
+            counts[place] = counts.get(place, 0) + 1
+    v = {p: math.log1p(c) * idf[p] for p, c in counts.items()}
+    length = math.sqrt(sum(x * x for x in v.values()))
+    return {p: x / length for p, x in v.items()}
+
+
+def test_language_matches_plain_centroids(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    words = {"de": "der die das und nicht über schön mit".split(), "en": "the and of with not over fine that".split(), "fr": "le la les et avec où très été".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randrange(4, 30))), lang) for i, lang in enumerate(rng.choices(list(words), k=90))]
+    rows += [(5, *rows[5][1:]), (200, "le der the 12", None), (201, "?? 7", "de"), (202, "xyz qq", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS rejected", "2 AS id", "3 AS place")
+    idf, langs, centroids, least = model = language.fit(df.where("doc_id < 70"), F.xxhash64("doc_id"))
+    learnt = [t for i, t, lang in rows if i < 70 and lang]
+    seen = {}
+    for t in learnt:
+        for p in plain_vector(t, [1.0] * language.DIMS):
+            seen[p] = seen.get(p, 0) + 1
+    for p in range(language.DIMS):
+        assert abs(idf[p] - (math.log((1 + len(learnt)) / (1 + seen.get(p, 0))) + 1)) < 1e-5
+    assert all(abs(sum(float(x) ** 2 for x in c) - 1) < 1e-4 for c in centroids) and sorted(set(langs)) == ["de", "en", "fr"]
+    got = language.predict(df, model).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        if not any(c.isalpha() for c in texts[r.doc_id]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        v = plain_vector(texts[r.doc_id], idf)
+        cosines = [sum(x * float(c[p]) for p, x in v.items()) for c in centroids]
+        best = max(range(len(cosines)), key=lambda j: cosines[j])
+        assert abs(r.score - cosines[best]) < 1e-4 and (r.lang_pred == langs[best] or abs(sorted(cosines)[-2] - cosines[best]) < 1e-5)
+        assert r.rejected == (cosines[best] < least[best]) or abs(cosines[best] - least[best]) < 1e-5
+
+
 def plain_count(model, word):
     s = token_counts.MARK + word
     best, n = [0.0], [0]
