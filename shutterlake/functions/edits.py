@@ -21,10 +21,12 @@ TEXTS = {
     "vignette_color": "black",
 }
 CURVE = ((0.0, 0.0), (0.5, 0.5), (1.0, 1.0))
-_LISTS = {"annotations": "array<string>", "crop": "array<double>", "gamma_curve_points": "array<array<double>>", "red_eye_regions": "array<array<double>>"}
+_NUMBER_LIST = T.ArrayType(T.DoubleType())
+_LISTS = {"annotations": T.ArrayType(T.StringType()), "crop": _NUMBER_LIST, "gamma_curve_points": T.ArrayType(_NUMBER_LIST), "red_eye_regions": T.ArrayType(_NUMBER_LIST)}
 #: All fields in order of name, as JSON with sorted keys has them.
 FIELDS = sorted([*NUMBERS, *FLAGS, *TEXTS, *_LISTS])
-SCHEMA = T.StructType.fromDDL(", ".join(f"{n} {'double' if n in NUMBERS else 'boolean' if n in FLAGS else 'string' if n in TEXTS else _LISTS[n]}" for n in FIELDS))
+_TYPES = dict.fromkeys(NUMBERS, T.DoubleType()) | dict.fromkeys(FLAGS, T.BooleanType()) | dict.fromkeys(TEXTS, T.StringType()) | _LISTS
+SCHEMA = T.StructType([T.StructField(n, _TYPES[n]) for n in FIELDS])
 
 
 def _default(name: str, value: Column) -> Column:

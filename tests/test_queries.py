@@ -1,6 +1,8 @@
 """Every query of the library against its SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -35,3 +37,9 @@ def test_query(spark, sql, name):
     assert sorted(want.columns) == cols
     rows = sorted(repr([plain(x) for x in r]) for r in want.select(*[f'"{c}"' for c in cols]).fetchall())
     assert got == rows
+
+
+def test_entry_is_imported_before_a_session_starts():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 200"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
