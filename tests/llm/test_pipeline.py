@@ -66,3 +66,25 @@ def test_near_dedup_stage_drops_edited_copies(spark, monkeypatch):
     assert len({r.doc_id for r in simhash.kept_one(docs).collect()}) > len(want) + 50, "the old stage kept these"
     monkeypatch.setattr(bands, "CROWDED", 4)
     assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()} == want
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Null, empty and very long texts, null ids, repeated rows, extra columns of clashing names, and no rows at all."""
+    rng = random.Random(7)
+    vocab = ["w%d" % i for i in range(500)]
+    prose = lambda n: "\n".join(" ".join(rng.choices(vocab, k=12)) + "." for _ in range(n))
+    rows = [(i, prose(6), "en", "web", 0) for i in range(12)] + [(20, None, None, None, 0), (21, "", "en", "web", 0), (22, " \n\t", "en", None, 0), (23, prose(4000), "en", "long", 0), (None, prose(5), "en", "web", 0)]
+    rows += [rows[3], rows[3]]
+    extra = ("row", "hash", "__row", "__w", "parts", "h", "gram", "node", "key", "own", "body")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(i).alias(c) for i, c in enumerate(extra)))
+    for empty in (False, True):
+        table = docs.where("false") if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            out.write.parquet(str(tmp_path / f"{name}-{empty}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}-{empty}"))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert table.columns == docs.columns
+                assert table.where(" OR ".join(f"`{c}` <> {i}" for i, c in enumerate(extra))).isEmpty()
+        assert table.isEmpty() == empty
+    assert table.sparkSession.read.parquet(str(tmp_path / "simhash_near_dedup-False")).where("doc_id = 3").count() == 1
