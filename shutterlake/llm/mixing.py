@@ -34,7 +34,9 @@ from shutterlake import scratch
 from shutterlake.llm.text import SPACE_CLASS, words_of
 
 #: Documents of a source that one part of its offsets has, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
+#: Parts at most, which one task sums.
+MOST_BUCKETS = 1 << 18
 #: Slots that one row of the plan stands for.
 SLOT_ROWS = 10_000
 ROUNDS = 8
@@ -78,7 +80,7 @@ def _sources(sized: DataFrame, plan: MixPlan) -> DataFrame:
     for no, ((name, words, docs), target) in enumerate(zip(rows, targets([w for _, w, _ in rows], plan.max_times), strict=True)):
         n = -(-words // plan.block)
         slots = min(plan.max_times * n, round(target * n / words)) if words else 0
-        found.append((no, name, words, target, n, slots, first, max(1, docs // BUCKET_ROWS)))
+        found.append((no, name, words, target, n, slots, first, min(MOST_BUCKETS, max(1, docs // BUCKET_ROWS))))
         first += slots
     return sized.sparkSession.createDataFrame(found, f"no int, source {sized.schema['source'].dataType.simpleString()}, source_size long, target double, n long, slots long, first long, parts long")
 

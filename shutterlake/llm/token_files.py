@@ -19,8 +19,10 @@ documents of their own, in order of their text's hash; a null id comes first.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,17 @@ from shutterlake.llm import rans
 
 #: The byte-level split pattern of the vocabulary's tokenizer (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_200_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Controls that are white space to one regular expression library and not to another.
 _CONTROL_SPACE = regex.compile("[\x1c-\x1f]")
 #: White space but single spaces and line ends.
 ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BYTES_AT_ONCE = 8_000_000
+_PUNCTUATION = string.punctuation
+#: The byte-level alphabet: bytes that print stand for themselves, the others, in order, for the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -70,16 +76,19 @@ class Units:
     def of(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all strings, number of ids of each)."""
         distinct = coded.dictionary.to_pylist()
-        missing = [x for x in distinct if x not in self.places]
-        if len(self.places) + len(missing) > self.kept:  # the table is emptied: all that is wanted is learnt anew
+        known = self.places.get
+        place = np.fromiter((known(x, -1) for x in distinct), np.int64, len(distinct))
+        absent = np.flatnonzero(place < 0)
+        if len(self.places) + len(absent) > self.kept:  # the table is emptied: all that is wanted is learnt anew
             self.clear()
-            missing = distinct
-        self._learn(missing)
-        row = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+            absent = np.arange(len(distinct))
+        place[absent] = np.arange(len(self.places), len(self.places) + len(absent))
+        self._learn([distinct[i] for i in absent.tolist()])
+        row = place[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.sizes[row]
         ends = np.cumsum(sizes)
-        take = np.repeat(self.starts[row] - ends + sizes, sizes)
-        take += np.arange(len(take))
+        take = np.repeat((self.starts[row] - ends + sizes).astype(np.int32), sizes)  # ids of one portion and of the table: far below 2^31
+        take += np.arange(len(take), dtype=np.int32)
         return self.ids[take], sizes
 
 
@@ -123,11 +132,36 @@ class Encoder:
         return np.concatenate([np.zeros(0, self.dtype), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A unit that begins with a line end stands for it and the word after it, any other for a space and a word."""
-        ids, sizes = self._lines([u[1:] if u[0] == "\n" else " " + u for u in units])
-        first = np.fromiter((u[0] == "\n" for u in units), bool, len(units))
-        begins = (np.cumsum(sizes) - sizes)[first]
-        return np.insert(ids, begins, self.line_end[0]), sizes + first
+        """A unit that begins with a line end stands for it and the word after it, any other for a space and a word.
+
+        Letters, with ASCII punctuation behind them at most, are two pieces of the
+        pattern, which the model takes as they are; other units go through the pattern.
+        """
+        split, words, marks = self.tokenizer.model.tokenize, {}, {}
+        out, rest = [], []
+        for n, unit in enumerate(units):
+            first = unit[0] == "\n"
+            word = unit[1:] if first else " " + unit
+            stem = word.rstrip(_PUNCTUATION)
+            if not stem.lstrip(" ").isalpha():
+                rest.append(n)
+                out.append(None)
+                continue
+            ids = words.get(stem)
+            if ids is None:
+                ids = words[stem] = [t.id for t in split(stem.encode().decode("latin-1").translate(_BYTES))]
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                if tail not in marks:
+                    marks[tail] = self._ids(tail).tolist()
+                ids = ids + marks[tail]
+            out.append([*self.line_end.tolist(), *ids] if first else ids)
+        if rest:
+            ids, sizes = self._lines([units[n][1:] if units[n][0] == "\n" else " " + units[n] for n in rest])
+            for n, part in zip(rest, np.split(ids, np.cumsum(sizes)[:-1])):
+                out[n] = [*self.line_end.tolist(), *part.tolist()] if units[n][0] == "\n" else part.tolist()
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), self.dtype, int(sizes.sum())), sizes
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.fromiter((not p.isspace() for p in pieces), bool, len(pieces))
