@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from shutterlake import scratch
 from shutterlake.functions import columns as C
 from shutterlake.operators import blocks
 from shutterlake.operators.graph import connected_components
@@ -66,43 +67,111 @@ def cosine_groups(vectors: DataFrame, threshold: float, key: str = "id", vector:
     return vectors.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-#: Clusters of more rows are not cut up.
-MOST_ROWS = 2000
+#: Distinct vectors of a cluster up to which all distances are held at once.
+MATRIX_ROWS = 2000
+#: Bytes of rows of distances that are held beyond that.
+ROW_BYTES = 64 << 20
 
 
-def purify(frame: pd.DataFrame, least: float = 0.60, most_rows: int = MOST_ROWS) -> pd.DataFrame:
-    """Split one cluster by complete linkage so that all cosines inside a part reach ``least``; noise and very large clusters stay."""
+def purify(frame: pd.DataFrame, least: float = 0.60, most_rows: int | None = None) -> pd.DataFrame:
+    """Split one cluster by complete linkage so that all cosines inside a part reach ``least``; noise stays, and clusters of over most_rows if it is given."""
     out = frame[["id", "label"]].assign(part=0)
     n = len(frame)
-    if n < 2 or n > most_rows or frame["label"].iloc[0] < 0:
+    if n < 2 or (most_rows is not None and n > most_rows) or frame["label"].iloc[0] < 0:
         return out
     v = np.array(frame["vector"].tolist(), dtype=np.float64)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     limit = np.sqrt(2 * (1 - least))
-    d = np.sqrt(np.maximum(0.0, 2 - 2 * (v @ v.T)))
+    first = _linked_in_matrix(v, limit) if n <= MATRIX_ROWS else _linked_by_rows(v, limit)
+    return out.assign(part=np.unique(first, return_inverse=True)[1])
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors; products of any shape give the same ones."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * np.round(a @ b.T, 12)))
+
+
+def _linked_in_matrix(v: np.ndarray, limit: float) -> np.ndarray:
+    """The first member of each vector's part."""
+    d = _distances(v, v)
     np.fill_diagonal(d, np.inf)
-    member = {i: [i] for i in range(n)}
-    while len(member) > 1:
+    first = np.arange(len(v))
+    while True:
         i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > limit:
-            break
+        if not d[i, j] <= limit:
+            return first
         i, j = min(i, j), max(i, j)
         d[i] = d[:, i] = np.maximum(d[i], d[j])
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
-        member[i] += member.pop(j)
-    part = np.zeros(n, dtype=np.int64)
-    for no, key in enumerate(sorted(member, key=lambda k: min(member[k]))):
-        part[member[key]] = no
-    return out.assign(part=part)
-
-
-def purified(labelled: DataFrame) -> DataFrame:
-    """(id, label, part) from (id, label, vector), cluster by cluster; noise and very large clusters pass by and are never gathered."""
-    sizes = labelled.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n").between(2, MOST_ROWS)).select("label")
-    cut = labelled.join(sizes, "label", "left_semi").groupBy("label").applyInPandas(lambda f: purify(f.sort_values("id").reset_index(drop=True)), "id long, label long, part long")
-    rest = labelled.join(sizes, "label", "left_anti").select(F.col("id").cast("long"), F.col("label").cast("long"), F.lit(0).cast("long").alias("part"))
-    return cut.unionByName(rest)
+        first[first == j] = i
+
+
+def _linked_by_rows(v: np.ndarray, limit: float) -> np.ndarray:
+    """The same as _linked_in_matrix, with some rows of distances at a time.
+
+    Each part knows its nearest later part. Distances of parts only grow, so one
+    that is out of date is a lower bound and is renewed when its turn comes.
+    """
+    n = len(v)
+    first, members = np.arange(n), {i: [i] for i in range(n)}
+    near, at, old = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    step = max(1, ROW_BYTES // (8 * n))
+    for lo in range(0, n, step):
+        d = _distances(v[lo : lo + step], v)
+        d[np.arange(n)[None, :] <= np.arange(lo, lo + len(d))[:, None]] = np.inf
+        at[lo : lo + step] = d.argmin(axis=1)
+        near[lo : lo + step] = d.min(axis=1)
+    rows: dict[int, np.ndarray] = {}
+
+    def row(i: int) -> np.ndarray:
+        """The largest distance of every vector from the members of part i."""
+        if i not in rows:
+            while len(rows) >= step:
+                del rows[next(iter(rows))]
+            rows[i] = np.maximum.reduce([_distances(v[members[i][k : k + step]], v).max(axis=0) for k in range(0, len(members[i]), step)])
+        return rows[i]
+
+    while True:
+        i = int(near.argmin())
+        if not near[i] <= limit:
+            return first
+        if old[i]:
+            d = np.full(n, -np.inf)
+            np.maximum.at(d, first, row(i))
+            d[: i + 1] = np.inf
+            d[d == -np.inf] = np.inf
+            at[i], near[i], old[i] = d.argmin(), d.min(), False
+            continue
+        j = int(at[i])
+        merged = np.maximum(row(i), row(j)) if i in rows and j in rows else None
+        for k in (i, j):
+            rows.pop(k, None)
+        if merged is not None:
+            rows[i] = merged
+        first[members[j]] = i
+        members[i] += members.pop(j)
+        near[j] = np.inf
+        old |= (at == i) | (at == j)
+        old[i] = True
+
+
+def purified(labelled: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """(id, label, part) from (id, label, vector), cluster by cluster; noise passes by and is never gathered.
+
+    Equal vectors are of one part, so the lowest id of each stands for them all.
+    most_rows: clusters of more rows are not cut up.
+    """
+    rows = labelled.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "vector")
+    cut = rows.where("label >= 0")
+    if most_rows is not None:
+        cut = cut.join(cut.groupBy("label").count().where(F.col("count") <= most_rows).select("label"), "label", "left_semi")
+    alike = scratch.written(cut.groupBy("label", "vector").agg(F.min("id").alias("id")), "vectors", gathered=True)
+    several = alike.groupBy("label").count().where("count > 1").select("label")
+    parts = alike.join(several, "label", "left_semi").groupBy("label").applyInPandas(lambda f: purify(f.sort_values("id").reset_index(drop=True)), "id long, label long, part long")
+    named = alike.join(parts.select("id", "part"), "id").select(F.col("label").alias("__label"), F.col("vector").alias("__vector"), F.col("part").alias("__part"))
+    same = (rows["label"] == named["__label"]) & (rows["vector"] == named["__vector"])
+    return rows.join(named, same, "left").select("id", "label", F.coalesce("__part", F.lit(0).cast("long")).alias("part"))
 
 
 def keypoint_matches(left: np.ndarray, right: np.ndarray, ratio: float = 0.75) -> int:

@@ -168,3 +168,20 @@ def test_groups_of_prints_match_pairs(spark):
     df = spark.createDataFrame(rows, "id long, bits long, day long")
     want = {(r.id, r.group_id) for r in clustering.groups(clustering.duplicate_pairs(df, 10)).collect()}
     assert {(r.id, r.group_id) for r in clustering.print_groups(df, 10).collect()} == want
+
+
+def test_large_clusters_are_cut_up(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(60, 3)), 1)
+    frame = pd.DataFrame({"id": range(60), "label": 1, "vector": v.tolist()})
+    whole = clustering.purify(frame)
+    assert whole["part"].nunique() > 5
+    for size in (0, 60 * 8 * 7):  # one row of distances at a time, and seven
+        monkeypatch.setattr(clustering, "MATRIX_ROWS", 10)
+        monkeypatch.setattr(clustering, "ROW_BYTES", size)
+        assert list(clustering.purify(frame)["part"]) == list(whole["part"])
+    monkeypatch.undo()
+    # 2,400 rows of two directions, one of three labels null or noise
+    rows = [(i, 5, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(2400)] + [(2400, -1, [1.0, 0.0]), (2401, None, [1.0, 0.0]), (2402, 6, [1.0, 0.0])]
+    got = {r.id: (r.label, r.part) for r in clustering.purified(spark.createDataFrame(rows, "id long, label long, vector array<double>")).collect()}
+    assert got == {i: (n, int(n == 5 and i % 3 > 0)) for i, n, _ in rows}
