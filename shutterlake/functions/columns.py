@@ -236,9 +236,14 @@ def gamma_table(gamma: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.floor(F.pow(i / 255.0, F.lit(1.0 / gamma)) * 255 + 0.5).cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def filter_steps(chain) -> Column:
     """Map of a sidecar's filter chain 'name=enabled,p1,...;': name to its values; the last of a name counts."""
     items = F.filter(F.split(F.coalesce(col(chain), F.lit("")), ";"), lambda s: F.contains(s, F.lit("=")) & (F.substring_index(s, "=", 1) != ""))
     pairs = F.transform(items, lambda s: F.struct(F.trim(F.substring_index(s, "=", 1)).alias("k"), F.split(F.regexp_replace(s, "^[^=]*=", ""), ",").alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(let(pairs, last))

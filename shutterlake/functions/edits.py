@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
-from shutterlake.functions.columns import col
+from shutterlake.functions.columns import col, let
 
 # The fields of an edit state with their defaults.
 NUMBERS = {
@@ -43,9 +43,12 @@ def _default(name: str, value: Column) -> Column:
 
 def parsed(text) -> Column:
     """The state that a JSON text holds, with defaults for what it lacks; null if it is no JSON object."""
-    raw = F.from_json(col(text), SCHEMA, {"mode": "PERMISSIVE"})
-    ok = F.try_parse_json(col(text)).isNotNull() & F.startswith(F.ltrim(col(text)), F.lit("{"))
-    return F.when(ok, F.struct(*(_default(n, raw[n]).alias(n) for n in FIELDS)))
+
+    def state(t: Column) -> Column:
+        ok = F.startswith(F.ltrim(t), F.lit("{")) & F.try_parse_json(t).isNotNull()
+        return F.when(ok, let(F.from_json(t, SCHEMA, {"mode": "PERMISSIVE"}), lambda raw: F.struct(*(_default(n, raw[n]).alias(n) for n in FIELDS))))
+
+    return let(col(text), state)
 
 
 def as_json(state) -> Column:
@@ -88,15 +91,22 @@ def edit_steps(rotate, crop, filters, width=None, height=None) -> Column:
     value = lambda name, i: F.get(f[name], F.lit(i)).try_cast("double")
     on = lambda name: F.coalesce(value(name, 0) >= 1, F.lit(False))
     amount = lambda name, i=1: F.coalesce(value(name, i), F.lit(0.0))
-    state = {n: F.lit(0.0) for n in STEP_FIELDS} | {"crop": F.lit(None).cast("array<double>"), "bw": F.lit(False)}
-    steps = []
-
-    def step(label, applies: Column, **changes: Column) -> None:
-        for name, new in changes.items():
-            state[name] = F.when(applies, new).otherwise(state[name])
-        steps.append(F.when(applies, F.struct(label if isinstance(label, Column) else F.lit(label), F.struct(*(state[n].alias(n) for n in STEP_FIELDS)))))
-
-    step("picasa_rotate", F.coalesce(col(rotate).between(1, 3), F.lit(False)), rotation=col(rotate) * 90.0)
+    label = lambda name: F.lit(f"picasa_{name}")
+    zero = F.lit(0.0)
+    # What a step adds is 0 where it does not apply, so that each value names the one before it once.
+    added = lambda old, applies, amount: _clamped(old + F.when(applies, amount).otherwise(zero))
+    state = {n: zero for n in STEP_FIELDS} | {"crop": F.lit(None).cast("array<double>"), "bw": F.lit(False)}
+    values, steps = [], []  # values that are computed once; of each step the label, the number of the value that tells if it applies, and those of its state
+
+    def step(name: Column, applies: Column, **changes: Column) -> None:
+        state.update(changes)
+        at = {n: len(values) + 1 + k for k, n in enumerate(changes)}
+        before = steps[-1][2] if steps else {}
+        values.extend([applies, *changes.values()])
+        steps.append((name, len(values) - 1 - len(changes), before | at))
+
+    turns = F.coalesce(col(rotate).between(1, 3), F.lit(False))
+    step(label("rotate"), turns, rotation=F.when(turns, col(rotate) * 90.0).otherwise(zero))
     c = col(crop)
     whole = c.isNotNull() & (c["right"] > c["left"]) & (c["bottom"] > c["top"])
     box, fits = F.array(c["left"], c["top"], c["right"] - c["left"], c["bottom"] - c["top"]), whole
@@ -106,27 +116,35 @@ def edit_steps(rotate, crop, filters, width=None, height=None) -> Column:
         pixels = c.isNull() & on("crop") & (w > 0) & (h > 0) & (right > left) & (bottom > top)
         box = F.when(whole, box).otherwise(F.array(left / w, top / h, right / w - left / w, bottom / h - top / h))
         fits = whole | pixels
-    step("picasa_crop", F.coalesce(fits, F.lit(False)), crop=box)
-    step("picasa_bw", on("bw"), bw=F.lit(True))
+    fits = F.coalesce(fits, F.lit(False))
+    step(label("crop"), fits, crop=F.when(fits, box))
+    step(label("bw"), on("bw"), bw=on("bw"))
     # A tilt is stated in radians up to a quarter of pi, which stands for 2.5 degrees the other way.
     angle = -(amount("tilt") * 2.5 / (math.pi / 4.0))
-    step("picasa_tilt", on("tilt") & (F.abs(angle) > 0.05), straighten=_clamped(angle, -2.5, 2.5))
+    tilted = on("tilt") & (F.abs(angle) > 0.05)
+    step(label("tilt"), tilted, straighten=F.when(tilted, _clamped(angle, -2.5, 2.5)).otherwise(zero))
     light, dark, warm, sat = (amount("finetune2", i) for i in (1, 2, 3, 4))
     either = on("finetune2") & ((light != 0) | (dark != 0) | (warm != 0) | (sat != 0))
-    set_or = lambda name, given, new: F.when(given != 0, new).otherwise(state[name])
-    step(
-        "picasa_finetune2", either, brightness=set_or("brightness", light, _clamped(light)), contrast=set_or("contrast", dark, _clamped(dark * 0.5)),
-        color_red=_clamped(state["color_red"] + _clamped(warm) * 0.15), color_blue=_clamped(state["color_blue"] - _clamped(warm) * 0.15), saturation=set_or("saturation", sat, _clamped(sat)),
-    )
-    step("picasa_fill", on("fill") & (amount("fill") != 0), brightness=_clamped(state["brightness"] + amount("fill") * 0.8))
-    tint = _clamped(amount("warmth")) * 0.20
-    step("picasa_warmth", on("warmth") & (amount("warmth") != 0), color_red=_clamped(state["color_red"] + tint), color_blue=_clamped(state["color_blue"] - tint))
-    step("picasa_lumi", on("lumi") & (amount("lumi") != 0), brightness=_clamped(state["brightness"] + amount("lumi")))
-    auto = _clamped(amount("autolight"), 0.0)
-    step("picasa_autolight", on("autolight") & (amount("autolight") != 0), brightness=_clamped(state["brightness"] + auto * 0.15), contrast=_clamped(state["contrast"] + auto * 0.20))
-    step("picasa_sat", on("sat") & (amount("sat") != 0), saturation=_clamped(state["saturation"] + amount("sat")))
-    edge = F.when(on("anisotropic"), F.coalesce(value("anisotropic", 1), F.lit(0.5))).otherwise(F.coalesce(value("sharpen", 1), F.lit(0.5)))
-    step(F.when(on("anisotropic"), F.lit("picasa_anisotropic")).otherwise(F.lit("picasa_sharpen")), on("anisotropic") | on("sharpen"), sharpness=_clamped(edge, 0.0))
-    step("picasa_softfocus", on("softfocus") & (amount("softfocus") != 0), noise_reduction=_clamped(amount("softfocus") * 0.5, 0.0))
-    named = F.array(*(F.struct(F.get(F.array(s), F.lit(0)).getField("col1").alias("label"), s.getField("col2").alias("state")) for s in steps))
-    return F.filter(named, lambda s: s["label"].isNotNull())
+    given = lambda new: F.when(either, _clamped(new)).otherwise(zero)  # noqa: E731  nothing before has set these
+    step(label("finetune2"), either, brightness=given(light), contrast=given(dark * 0.5), color_red=given(_clamped(warm) * 0.15), color_blue=given(zero - _clamped(warm) * 0.15), saturation=given(sat))
+    fill = on("fill") & (amount("fill") != 0)
+    step(label("fill"), fill, brightness=added(state["brightness"], fill, amount("fill") * 0.8))
+    tinted, tint = on("warmth") & (amount("warmth") != 0), _clamped(amount("warmth")) * 0.20
+    step(label("warmth"), tinted, color_red=added(state["color_red"], tinted, tint), color_blue=added(state["color_blue"], tinted, -tint))
+    lumi = on("lumi") & (amount("lumi") != 0)
+    step(label("lumi"), lumi, brightness=added(state["brightness"], lumi, amount("lumi")))
+    lit, auto = on("autolight") & (amount("autolight") != 0), _clamped(amount("autolight"), 0.0)
+    step(label("autolight"), lit, brightness=added(state["brightness"], lit, auto * 0.15), contrast=added(state["contrast"], lit, auto * 0.20))
+    more = on("sat") & (amount("sat") != 0)
+    step(label("sat"), more, saturation=added(state["saturation"], more, amount("sat")))
+    edge = F.when(on("anisotropic"), F.coalesce(value("anisotropic", 1), F.lit(0.5))).when(on("sharpen"), F.coalesce(value("sharpen", 1), F.lit(0.5))).otherwise(zero)
+    step(F.when(on("anisotropic"), label("anisotropic")).otherwise(label("sharpen")), on("anisotropic") | on("sharpen"), sharpness=_clamped(edge, 0.0))
+    soft = on("softfocus") & (amount("softfocus") != 0)
+    step(label("softfocus"), soft, noise_reduction=F.when(soft, _clamped(amount("softfocus") * 0.5, 0.0)).otherwise(zero))
+    start = {n: zero for n in STEP_FIELDS} | {"crop": F.lit(None).cast("array<double>"), "bw": F.lit(False)}
+
+    def listed(v: Column) -> Column:
+        whole_state = lambda at: F.struct(*((v[f"v{at[n]}"] if n in at else start[n]).alias(n) for n in STEP_FIELDS))
+        return F.array(*(F.when(v[f"v{applies}"], F.struct(name.alias("label"), whole_state(at).alias("state"))) for name, applies, at in steps))
+
+    return F.array_compact(let(F.struct(*(x.alias(f"v{k}") for k, x in enumerate(values))), listed))

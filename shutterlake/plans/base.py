@@ -25,3 +25,9 @@ def query(name: str, views: tuple[str, ...], sql: str | None):
         return f
 
     return wrap
+
+
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """df dealt out to all cores, for rows that cost far more than their shuffle: a small file is read by one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
