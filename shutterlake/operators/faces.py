@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shutterlake.functions import columns as C
@@ -330,24 +332,29 @@ def match_scores(annotations: DataFrame, faces: DataFrame, least: float = 0.30)
 
 
 def greedy_matches(scores: DataFrame) -> DataFrame:
-    """(photo_id, annotation, face, score): annotations in order of id take their best free face; one photo is one small group."""
-
-    def run(frame):
-        frame = frame.sort_values(["annotation", "score", "face"], ascending=[True, False, True])
-        done, used, rows = set(), set(), []
-        for row in frame.itertuples(index=False):
-            if row.annotation not in done and row.face not in used:
-                done.add(row.annotation)
-                used.add(row.face)
-                rows.append(row)
-        return frame.iloc[:0] if not rows else type(frame)(rows, columns=frame.columns)
-
-    # A photo of one annotation has no conflict: its best face is a native maximum.
-    marked = scores.withColumn("__n", F.size(F.collect_set("annotation").over(Window.partitionBy("photo_id"))))
-    alone = marked.where("__n = 1").groupBy("photo_id", "annotation").agg(F.max(F.struct(F.col("score"), (-F.col("face")).alias("f"))).alias("t"))
-    alone = alone.select("photo_id", "annotation", (-F.col("t.f")).alias("face"), F.col("t.score").alias("score"))
-    several = marked.where("__n > 1").select(*scores.columns)
-    return alone.select(*scores.columns).unionByName(several.groupBy("photo_id").applyInPandas(run, scores.schema))
+    """(photo_id, annotation, face, score): annotations in order of id take their best free face.
+
+    Photos follow one another in sorted partitions, so that one pass over each
+    settles them all; what is held is one photo's taken faces.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        photo = last = None
+        used = set()
+        for batch in batches:
+            taken = []
+            for i, (p, a, f) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if p != photo:
+                    photo, last, used = p, None, set()
+                if a != last and f not in used:
+                    last = a
+                    used.add(f)
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    rows = scores.select("photo_id", "annotation", "face", "score")
+    ordered = rows.repartition("photo_id").sortWithinPartitions("photo_id", "annotation", F.col("score").desc(), "face")
+    return ordered.mapInArrow(run, rows.schema).select(*scores.columns)
 
 
 # --- state changes --------------------------------------------------------
