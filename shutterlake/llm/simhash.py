@@ -19,11 +19,12 @@ Defined cases: a null or blank text has no shingles and fingerprint zero, which
 is linked like any other; a text of fewer words than a shingle is one shingle.
 Repeated rows each get a row. Other columns are not read.
 
-``kept_similar`` does not go by bits: texts with a Jaccard similarity of their
-sets of shingles of at least ``least`` are linked. Fingerprints of such texts
-may be 10 bits or more apart, too far for blocks; candidates share one of 20
-MinHash keys of five minima (of pairs at 0.8 all but one in 2,800 do), and the
-sets themselves are compared.
+``kept_similar`` links texts with a Jaccard similarity of their sets of shingles
+of at least ``least``. Candidates are all pairs of fingerprints of at most
+``max_bits`` different bits, by the same pigeonhole blocks. Fingerprints of such
+texts may also be 10 bits or more apart, too far for blocks; so texts that share
+one of 20 MinHash keys of five minima (of pairs at 0.8 all but one in 2,800 do)
+are candidates beside them. The sets themselves are compared.
 """
 
 from __future__ import annotations
@@ -65,7 +66,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of a text."""
-    hashes = shingle_hashes(text, shingle)
+    return _fingerprint(shingle_hashes(text, shingle))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, dtype=np.int64)
@@ -143,8 +147,16 @@ def _content(text: str | None) -> int:
     return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), SEED)
 
 
-def _signatures(src: DataFrame, shingle: int) -> DataFrame:
-    """(id, content, size, marks, keys): a hash of the words; of the set of shingles the size, a bit for each by hash, and the MinHash keys; written."""
+def block_keys(fp: int, max_bits: int) -> list[int]:
+    """Keys of a fingerprint, unsigned: of its max_bits + 2 blocks any two. Fingerprints of at most max_bits different bits share a key."""
+    n = max_bits + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    block = [(fp >> lo & ((1 << (hi - lo)) - 1)).to_bytes(8, "little") for lo, hi in zip(edges, edges[1:])]
+    return [xxhash.xxh64_intdigest(block[i] + block[j], MINIMA_OF * KEYS + 1 + i * n + j) for i, j in combinations(range(n), 2)]
+
+
+def _signatures(src: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """(id, content, size, marks, keys): a hash of the words; of the set of shingles the size, a bit for each by hash, and the keys by blocks of the fingerprint and by MinHash; written."""
     kind = src.schema["id"].dataType.simpleString()
     masks = np.array(minhash.masks(MINIMA_OF * KEYS), dtype=np.int64)
 
@@ -152,14 +164,17 @@ def _signatures(src: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             contents, sizes, marks, keys = [], [], [], []
             for t in batch.column(1):
-                hashes = np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64)
+                every = shingle_hashes(t.as_py(), shingle)
+                blocks = block_keys(_fingerprint(every), max_bits) if len(every) else []
+                hashes = np.unique(every).view(np.int64)
                 low = [np.min(hashes ^ m) for m in masks] if len(hashes) else []
                 contents.append(_content(t.as_py()))
                 sizes.append(len(hashes))
                 bits = np.zeros(64 * MARKS, dtype=np.uint8)
                 bits[hashes & (64 * MARKS - 1)] = 1
                 marks.append(np.packbits(bits, bitorder="little").view(np.int64))
-                keys.append(np.array([xxhash.xxh64_intdigest(np.array(low[i : i + MINIMA_OF]).tobytes(), i) for i in range(0, len(low), MINIMA_OF)], dtype=np.uint64).view(np.int64))
+                minima = [xxhash.xxh64_intdigest(np.array(low[i : i + MINIMA_OF]).tobytes(), i) for i in range(0, len(low), MINIMA_OF)]
+                keys.append(np.array(blocks + minima, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(contents, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "content", "size", "marks", "keys"])
 
     return scratch.written(src.mapInArrow(run, f"id {kind}, content long, size long, marks array<long>, keys array<long>"), "signatures")
@@ -179,10 +194,10 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "content long, hashes array<int>")
 
 
-def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def kept_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, max_bits: int = 2) -> DataFrame:
     """docs with one row of each group of texts that are linked by similarity; what kept_one says of ids holds here."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = _signatures(src, shingle)
+    rows = _signatures(src, shingle, max_bits)
     firsts = scratch.written(rows.groupBy("content").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("marks").alias("marks"), F.first("keys").alias("keys")), "contents")
     members = bands.shared(firsts.select(F.explode("keys").alias("key"), F.col("content").alias("node")))
 
