@@ -105,7 +105,9 @@ def hamming_pairs(df: DataFrame, most: int, key: str = "id", bits: str = "bits",
 
     With m bands some band differs in at most most // m bits; m is the least
     with a radius of 2. One side is sent under all variants of its bands, the
-    other under its own, so pairs meet by equality. new: a boolean column; pairs
+    other under its own, so pairs meet by equality. The join is never a
+    broadcast: Spark sizes a side before a row of it becomes hundreds of
+    variants, and would build those in the driver. new: a boolean column; pairs
     of two rows that are not new are left out.
     """
     m = max(1, -(-(most + 1) // 3))
@@ -121,7 +123,7 @@ def hamming_pairs(df: DataFrame, most: int, key: str = "id", bits: str = "bits",
         probes.append(_probe(n, value, masks))
     own = base.select("k", "x", "fresh", F.explode(F.array(*bands)).alias("s")).select("k", "x", "fresh", "s.*")
     sent = base.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("fresh").alias("fresh2"), F.explode(F.concat(*probes)).alias("s")).select("k2", "x2", "fresh2", "s.*")
-    met = own.join(sent, ["n", "band"]).where((F.col("k") < F.col("k2")) & (F.col("fresh") | F.col("fresh2")))
+    met = own.join(sent.hint("merge"), ["n", "band"]).where((F.col("k") < F.col("k2")) & (F.col("fresh") | F.col("fresh2")))
     near = met.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("x2")))).where(F.col("distance") <= most)
     return near.select(F.col("k").alias("a"), F.col("k2").alias("b"), "distance").distinct()
 

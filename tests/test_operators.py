@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from shutterlake import scratch
 from shutterlake.functions import columns as C
 from shutterlake.operators import blocks, catalog, clustering, faces, history, refresh
 from shutterlake.operators.numbering import numbered
@@ -31,6 +32,14 @@ def test_hamming_is_exact(spark):
         assert got == {(a, b, bin(x ^ y).count("1")) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= most}
 
 
+def test_bands_are_not_broadcast(spark):
+    """A written table is small; the variants of its rows, hundreds each, must not be built in the driver."""
+    df = scratch.written(spark.range(200).select("id", F.xxhash64("id").alias("bits")), "prints")
+    for pairs in (blocks.hamming_pairs(df, 17), blocks.hamming_pairs(df.withColumn("new", F.col("id") < 9), 17, new="new")):
+        assert pairs.count() >= 0
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blocks_agree_with_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(50, 6))
