@@ -52,3 +52,27 @@ def test_files_match_plain_encoding(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.round_trip(df, tokenizer_path()).count() == 0
+
+
+def test_known_letters_are_not_encoded_again(monkeypatch):
+    """Letters met before go to the model once, whatever punctuation follows them; every id stays the tokenizer's own."""
+    enc = token_files.Encoder(tokenizer_path())
+    own, asked = enc.tokenizer, []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return own.model.tokenize(piece)
+
+    class Watched:
+        model = Model()
+
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+    monkeypatch.setattr(enc, "tokenizer", Watched())
+    for text in ("x zyxwv ñandú zyxwv\nzyxwv", "x zyxwv, zyxwv.\nzyxwv! ñandú?", "y ñandú. ÿĀﬁ ªº ñ² zyxwv!?"):
+        ids, n = enc.encode(token_files.pa.array([text]), 2)
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
+    spaced = [x for x in asked if x.endswith("zyxwv") and x != "zyxwv"]
+    assert len(spaced) == 1 and len([x for x in asked if x.endswith("andÃº")]) == 1
